@@ -10,13 +10,13 @@ _STEM = r"([^/]+)\.txt(?:/part-[^/]*)?$"
 
 def read_definitions(spark: SparkSession, path: str) -> DataFrame:
     """``(definition, template)``; names compare case-insensitively, kept as written."""
-    source = F.col("_metadata.file_path")
+    source = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     saved = source.rlike(r"\.txt/part-[^/]*$")  # one-row text output ends with a line feed
     value = F.when(saved, F.regexp_replace("value", r"\n\z", "")).otherwise(F.col("value"))
     return (
         spark.read.text(f"{path.rstrip('/')}/*.txt", wholetext=True)
         .select(
-            F.url_decode(F.regexp_extract(source, _STEM, 1)).alias("definition"),
+            F.regexp_extract(source, _STEM, 1).alias("definition"),
             value.alias("template"),
         )
     )
