@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
 NOT_SPACE = r"[^\t-\r\x1c-\x1f\x85\p{Z}]"
+# runs to collapse: everything but a lone blank, which most whitespace is
+SPACE_RUN = rf"{SPACE}{{2,}}|[\t-\r\x1c-\x1f\x85\p{{Z}}&&[^ ]]"
 
 # Entities decoded by the native form. The ampersand goes last.
 BASIC_ENTITIES = (
@@ -65,15 +67,6 @@ def unescape(col: Column, entities: str = "all") -> Column:
     return F.coalesce(_unescape_all(marked), col)
 
 
-def clean_text(col: Column, entities: str = "all") -> Column:
-    """Decode entities, drop links and mentions, unmark hashtags, collapse whitespace."""
-    text = unescape(F.coalesce(col, F.lit("")), entities)
-    text = F.regexp_replace(text, rf"https?://{NOT_SPACE}+", "")
-    text = F.regexp_replace(text, rf"@{WORD}+", "")
-    text = F.regexp_replace(text, rf"#({WORD}+)", "$1")
-    return strip(F.regexp_replace(text, rf"{SPACE}+", " "))
-
-
 def outbound_links(col: Column, excluded_hosts: Sequence[str] = EXCLUDED_HOSTS) -> Column:
     """Whitespace-separated http(s) links whose host is not excluded, in order."""
     def is_outbound(token: Column) -> Column:

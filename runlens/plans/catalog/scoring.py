@@ -11,6 +11,7 @@ from runlens.operators import prompts, scoring, topics
 from runlens.plans import fixtures as fx
 from runlens.plans.catalog.registry import query
 from runlens.plans.catalog.text import DEFINITIONS_SQL, two_definitions
+from runlens.plans.inference import score_posts
 
 TASKS_SQL = fx.with_sql(
     fx.POSTS_SQL,
@@ -186,6 +187,32 @@ def _(spark, d):
     return scoring.pivot_results(scoring.parse_scored(scored), ["post_id", "keyword"], ["D0", "D1"])
 
 
+@query(
+    "sc06_scored_posts",
+    TASKS_SQL.rstrip()
+    + f""",
+parsed AS (SELECT post_id, username, truth, keyword, text, definition, {PARSED_SQL}
+           FROM (SELECT t.*, p.username FROM tasks t JOIN posts p ON t.post_id = p.post_id))
+SELECT post_id, username, truth, keyword, md5(text) AS text_md5,
+       max(CASE WHEN definition = 'D0' THEN decision END) AS "D0_Decision",
+       max(CASE WHEN definition = 'D1' THEN decision END) AS "D1_Decision",
+       max(CASE WHEN definition = 'D0' THEN CAST(decision = 'Yes' AS INTEGER) END) AS "D0_Binary",
+       max(CASE WHEN definition = 'D1' THEN CAST(decision = 'Yes' AS INTEGER) END) AS "D1_Binary"
+FROM parsed GROUP BY post_id, username, truth, keyword, text""",
+)
+def _(spark, d):
+    """Posts to decisions: prompts, one run of the scorer, parsing, one row per post."""
+    run = score_posts(
+        fx.posts(spark, d),
+        two_definitions(spark, d),
+        lambda built: scoring.score_rule(built, rule_answer(), fault()),
+    )
+    return run.wide.select(
+        "post_id", "username", "truth", "keyword", F.md5("text").alias("text_md5"),
+        "D0_Decision", "D1_Decision", "D0_Binary", "D1_Binary",
+    )
+
+
 @query(
     "sc07_confident",
     "SELECT l_orderkey, l_linenumber, 1 - l_discount * 5 AS confidence FROM lineitem WHERE 1 - l_discount * 5 >= 0.7",

@@ -8,10 +8,11 @@ from runlens.functions import text as tx
 from runlens.operators import context, prompts, topics
 from runlens.plans import fixtures as fx
 from runlens.plans.catalog.registry import query
-from runlens.plans.catalog.shape import AB_SQL, parsed
+from runlens.operators.cleaning import clean_posts
 from runlens.operators.shape import stack
+from runlens.plans.catalog.shape import AB_SQL, parsed
 from runlens.sources.definitions import missing_definitions, read_definitions, save_definition
-from runlens.sources.storage import scratch_path
+from runlens.sources.storage import bounded_rows, scratch_path
 
 STOP_WORDS = ("the", "and", "of", "to", "in", "de", "la", "der", "und")
 
@@ -39,7 +40,7 @@ def clean_sql(text: str) -> str:
     f"FROM (SELECT page_id, {clean_sql('html')} AS clean FROM pages)",
 )
 def _(spark, d):
-    cleaned = fx.table(spark, d, "pages").select("page_id", tx.clean_text(F.col("html")).alias("clean"))
+    cleaned = clean_posts(fx.table(spark, d, "pages").select("page_id", "html"), "html", "clean")
     return cleaned.select("page_id", F.md5("clean").alias("text_md5"), F.char_length("clean").alias("n_chars"))
 
 
@@ -49,9 +50,8 @@ def _(spark, d):
     f"FROM (SELECT doc_id, {clean_sql('text')} AS clean FROM documents)",
 )
 def _(spark, d):
-    cleaned = fx.table(spark, d, "documents").select(
-        "doc_id", tx.clean_text(F.col("text"), entities="basic").alias("clean")
-    )
+    documents = fx.table(spark, d, "documents").select("doc_id", "text")
+    cleaned = clean_posts(documents, "text", "clean", entities="basic")
     return cleaned.select("doc_id", F.md5("clean").alias("text_md5"), F.char_length("clean").alias("n_chars"))
 
 
@@ -111,7 +111,8 @@ FROM documents GROUP BY lang""",
 )
 def _(spark, d):
     folder = scratch_path(spark, "definitions")
-    for row in fx.table(spark, d, "documents").groupBy("lang").count().collect():  # one per language
+    languages = fx.table(spark, d, "documents").groupBy("lang").count()
+    for row in bounded_rows(languages, prompts.MAX_DEFINITIONS, "definitions"):
         save_definition(spark, folder, row["lang"], f"Posts in {row['lang']}: {row['count']}\n{{text}}")
     return read_definitions(spark, folder)
 
@@ -242,7 +243,7 @@ def turns_in_context(spark, d):
 
 
 @query(
-    "tx10_conversation_context",
+    "tx10_ws07_conversation_context",
     f"""SELECT conv_id, turn, lag(text) OVER c AS parent, CAST(len(thread) AS INTEGER) AS n_thread,
        md5(array_to_string(thread, '|')) AS thread_md5, CAST(len(replies) AS INTEGER) AS n_replies,
        md5(array_to_string(replies, '|')) AS replies_md5

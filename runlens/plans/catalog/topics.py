@@ -26,12 +26,12 @@ def _(spark, d):
     return matrix.select("post_id", counts, F.col("features").cast("string").alias("features"))
 
 
-@query("tm02_assigned_topics")
+@query("tm02_tm04_assigned_topics")
 def _(spark, d):
     return false_positive_topics(spark, d).assigned.select("post_id", "topic_id", "topic_distribution")
 
 
-@query("tm03_top_terms")
+@query("tm03_ws05_top_terms")
 def _(spark, d):
     return false_positive_topics(spark, d).terms
 

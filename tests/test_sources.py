@@ -66,6 +66,25 @@ def test_batches_in_numeric_order_last_wins(spark, tmp_path):
     assert [r["post_id"] for r in ordered] == [7, 100, 8, 7, 200, 8, 7, 1000, 8]
 
 
+def test_batches_with_different_headers_align_by_name(spark, tmp_path):
+    write_csv(tmp_path / "batch_1.csv", ["TweetID", "Text"], [(1, "a\nb"), (2, "c")])
+    write_csv(tmp_path / "batch_2.csv", ["Text", "TweetID", "Keyword"], [("d", 3, "k")])
+    (tmp_path / "batch_3.csv").write_text("")
+    read = batches.read_batches(spark, str(tmp_path))
+    got = sorted((r["post_id"], r["text"], r["keyword"], r["batch_id"]) for r in read.collect())
+    assert got == [(1, "a\nb", None, 1), (2, "c", None, 1), (3, "d", "k", 2)]
+
+
+def test_sequence_is_unique_over_part_files(spark, tmp_path):
+    rows = spark.range(1000, numPartitions=8).select(F.col("id").alias("TweetID"), F.lit("x").alias("Text"))
+    for n in (3, 12):
+        tables.write_table(rows, str(tmp_path / f"batch_{n}.csv"), "csv")
+    read = batches.read_batches(spark, str(tmp_path))
+    assert read.count() == 2000 and read.select("ingest_seq").distinct().count() == 2000
+    ordered = [r["post_id"] for r in read.orderBy("ingest_seq").collect()]
+    assert ordered == list(range(1000)) * 2
+
+
 def test_no_batches_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="no batch files"):
         batches.read_batches(spark, str(tmp_path))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions import text as tx
 from runlens.operators import context, prompts, topics
+from runlens.operators.cleaning import clean_posts
 from runlens.sources.definitions import missing_definitions, read_definitions, save_definition
 
 
@@ -33,14 +34,19 @@ CLEAN_CASES = [
 ]
 
 
+def clean(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    return [r["text"] for r in clean_posts(df).orderBy("i").collect()]
+
+
 def test_clean_text(spark):
-    assert apply(spark, CLEAN_CASES, tx.clean_text) == [clean_in_python(t) for t in CLEAN_CASES]
+    assert clean(spark, CLEAN_CASES) == [clean_in_python(t) for t in CLEAN_CASES]
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet=st.sampled_from("a Z9_#@&;:/.htps<é\n\t ß٣²"), max_size=40), min_size=1, max_size=30))
 def test_clean_text_like_python(spark, texts):
-    assert apply(spark, texts, tx.clean_text) == [clean_in_python(t) for t in texts]
+    assert clean(spark, texts) == [clean_in_python(t) for t in texts]
 
 
 def test_outbound_links(spark):
