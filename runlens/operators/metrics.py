@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.rates import metric_columns, ratio
@@ -75,21 +75,30 @@ def compare_models(metrics: DataFrame) -> DataFrame:
     return metrics.select("model", *COMPARED)
 
 
-def relative_improvement(base: DataFrame, new: DataFrame) -> DataFrame:
-    """Relative change per metric between two one-row metric tables.
+def relative_improvement(metrics: DataFrame, base: str, new: str) -> DataFrame:
+    """Relative change per metric from model ``base`` to model ``new``.
 
     The sign is turned for the false positive rate, a baseline near zero is
-    replaced by a floor, and ``direction`` tells which way the metric moved.
+    replaced by a floor, and ``direction`` tells which way the metric moved. Both
+    models are taken from one pass over ``metrics``.
     """
-    def long(metrics: DataFrame, value: str) -> DataFrame:
-        return metrics.select(*COMPARED).unpivot([], list(COMPARED), "metric", value)
-
+    def value(metric: str, model: str) -> Column:
+        return F.max(F.when(F.col("model") == model, F.col(metric)))
+
+    pairs = [
+        F.struct(
+            F.lit(metric).alias("metric"),
+            value(metric, base).alias("base_value"),
+            value(metric, new).alias("new_value"),
+        )
+        for metric in COMPARED
+    ]
     floor = F.when(F.abs("base_value") < BASELINE_FLOOR, F.lit(BASELINE_FLOOR)).otherwise(
         F.col("base_value")
     )
     change = (F.col("new_value") - floor) / floor
     moved = F.col("new_value") - F.col("base_value")
-    return long(base, "base_value").join(long(new, "new_value"), "metric").select(
+    return metrics.agg(F.array(*pairs).alias("_pairs")).select(F.inline("_pairs")).select(
         "metric",
         "base_value",
         "new_value",
@@ -125,7 +134,8 @@ def confusion_table(df: DataFrame, truth: str, pred: str) -> DataFrame:
         F.when(F.col("_p") == 1, "All").otherwise(F.col("predicted").cast("string")).alias("predicted"),
         "count",
     )
-    margin = named.filter(F.col("predicted") == "All").select("actual", F.col("count").alias("_row"))
-    return named.join(margin, "actual").select(
+    # nine rows: the row margin is looked up within each of three groups
+    of_row = F.max(F.when(F.col("predicted") == "All", F.col("count"))).over(Window.partitionBy("actual"))
+    return named.withColumn("_row", of_row).select(
         "actual", "predicted", "count", (ratio(F.col("count"), F.col("_row")) * 100).alias("row_percent")
     )

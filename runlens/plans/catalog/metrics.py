@@ -258,10 +258,7 @@ def _improvement_sql() -> str:
 
 @query("ag09_relative_improvement", VOLUME_METRICS + _improvement_sql())
 def _(spark, d):
-    found = volume_metrics(spark, d)
-    change = metrics.relative_improvement(
-        found.filter(F.col("model") == "A"), found.filter(F.col("model") == "B")
-    )
+    change = metrics.relative_improvement(volume_metrics(spark, d), "A", "B")
     return change.select(
         "metric", *rounded("base_value", "new_value", digits=8), *rounded("improvement", digits=5), "direction"
     )

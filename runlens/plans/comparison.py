@@ -17,6 +17,7 @@ from runlens.operators.metrics import classification_metrics, compare_models, re
 from runlens.operators.shape import stack_runs
 from runlens.operators.topics import TopicResult, fp_topics
 from runlens.sources.outputs import write_comparison
+from runlens.sources.storage import materialize
 
 
 def merge_runs(
@@ -64,13 +65,12 @@ def analyse_runs(
     """Everything that is reported about two prediction columns of one table."""
     columns = {name.replace("_Binary", ""): name for name in (base, new)}
     first, second = columns
-    metrics = classification_metrics(side_by_side, truth, columns)
+    # one row per model, written so that its three uses share one scan
+    metrics = materialize(classification_metrics(side_by_side, truth, columns), "metrics")
     return Analysis(
         metrics=metrics,
         comparison=compare_models(metrics),
-        improvement=relative_improvement(
-            metrics.filter(F.col("model") == first), metrics.filter(F.col("model") == second)
-        ),
+        improvement=relative_improvement(metrics, first, second),
         slices=error_rates_all_slices(side_by_side, truth, columns),
         error_changes=compare_model_errors(side_by_side, truth, base, new),
         changed_rows=error_change_rows(side_by_side, truth, base, new),

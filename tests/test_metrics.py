@@ -54,15 +54,13 @@ def test_confusion_table_fills_missing_cells(spark):
     assert cells[("All", "All")] == (4, 100.0)
 
 
-def metric_row(spark, **values):
-    base = {name: 0.5 for name in metrics.COMPARED} | values
-    return spark.createDataFrame([tuple(base.values())], ", ".join(f"{k} double" for k in base))
-
-
 def test_relative_improvement(spark):
-    base = metric_row(spark, precision=0.0, recall=0.00005, mcc=-0.5, false_positive_rate=0.4)
-    new = metric_row(spark, precision=0.1, recall=0.2, mcc=0.25, false_positive_rate=0.3)
-    got = {r["metric"]: r for r in metrics.relative_improvement(base, new).collect()}
+    base = {name: 0.5 for name in metrics.COMPARED}
+    old = base | {"precision": 0.0, "recall": 0.00005, "mcc": -0.5, "false_positive_rate": 0.4}
+    new = base | {"precision": 0.1, "recall": 0.2, "mcc": 0.25, "false_positive_rate": 0.3}
+    rows = [("old", *old.values()), ("new", *new.values()), ("other", *base.values())]
+    table = spark.createDataFrame(rows, "model string, " + ", ".join(f"{k} double" for k in base))
+    got = {r["metric"]: r for r in metrics.relative_improvement(table, "old", "new").collect()}
     assert len(got) == 7
     assert got["precision"]["improvement"] == pytest.approx((0.1 - 0.0001) / 0.0001)
     assert got["recall"]["improvement"] == pytest.approx((0.2 - 0.0001) / 0.0001)
