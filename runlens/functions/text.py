@@ -79,26 +79,22 @@ def outbound_links(col: Column, excluded_hosts: Sequence[str] = EXCLUDED_HOSTS)
     return F.coalesce(F.filter(tokens, is_outbound), F.array().cast("array<string>"))
 
 
-def _yes_no(lowered: Column) -> Column:
-    return (
-        F.when(F.contains(lowered, F.lit("yes")), F.lit(YES))
-        .when(F.contains(lowered, F.lit("no")), F.lit(NO))
-        .otherwise(F.lit(UNCLEAR))
-    )
-
-
 def parse_decision(answer: Column) -> tuple[Column, Column]:
     """Decision and explanation of a free-text answer, marked or not."""
     marked = F.contains(answer, F.lit(DECISION_MARK)) & F.contains(answer, F.lit(EXPLANATION_MARK))
     part = F.split_part(
         F.split_part(answer, F.lit(DECISION_MARK), F.lit(2)), F.lit(EXPLANATION_MARK), F.lit(1)
     )
-    reason = strip(F.split_part(answer, F.lit(EXPLANATION_MARK), F.lit(2)))
+    # only the prefix of an unmarked answer is lowered; lowering can lengthen it
+    prefix = F.substring(F.lower(F.substring(answer, 1, UNMARKED_PREFIX)), 1, UNMARKED_PREFIX)
+    decisive = F.when(marked, F.lower(part)).otherwise(prefix)
     decision = (
         F.when(answer.isNull(), F.lit(ERROR))
-        .when(marked, _yes_no(F.lower(part)))
-        .otherwise(_yes_no(F.substring(F.lower(answer), 1, UNMARKED_PREFIX)))
+        .when(F.contains(decisive, F.lit("yes")), F.lit(YES))
+        .when(F.contains(decisive, F.lit("no")), F.lit(NO))
+        .otherwise(F.lit(UNCLEAR))
     )
+    reason = strip(F.split_part(answer, F.lit(EXPLANATION_MARK), F.lit(2)))
     explanation = (
         F.when(answer.isNull(), F.lit("null response")).when(marked, reason).otherwise(answer)
     )

@@ -12,6 +12,7 @@ from runlens.plans import fixtures as fx
 from runlens.plans.catalog.registry import query
 from runlens.plans.catalog.text import DEFINITIONS_SQL, two_definitions
 from runlens.plans.inference import score_posts
+from runlens.sources.storage import scratch_path
 
 TASKS_SQL = fx.with_sql(
     fx.POSTS_SQL,
@@ -57,12 +58,13 @@ def make_scorer():
 
 
 def make_flaky_scorer():
-    """Fails once per prompt whose length divides by four, then answers."""
-    seen: set[str] = set()
+    """Fails the first time it sees a prompt whose length divides by four."""
+    failed = None
 
     def score(prompt: str) -> str:
-        if len(prompt) % 4 == 0 and prompt not in seen:
-            seen.add(prompt)
+        nonlocal failed
+        if len(prompt) % 4 == 0 and prompt != failed:
+            failed = prompt
             raise ValueError("injected fault")
         return f"DECISION: No\nEXPLANATION: {len(prompt)} characters"
 
@@ -154,6 +156,17 @@ def _(spark, d):
     )
 
 
+@query(
+    "sc01_score_in_waves",
+    TASKS_SQL + f"SELECT post_id, definition, {ANSWER_SQL} AS answer FROM tasks",
+)
+def _(spark, d):
+    scored = scoring.score_in_waves(
+        tasks(spark, d), lambda part: scoring.score_rule(part, rule_answer()), scratch_path(spark, "waves"), 3
+    )
+    return scored.select("post_id", "definition", "answer")
+
+
 @query(
     "sc05_fallback",
     TASKS_SQL

@@ -60,7 +60,13 @@ class Analysis:
 
 
 def analyse_runs(
-    side_by_side: DataFrame, truth: str, base: str, new: str, topics: bool = False, k: int = 5
+    side_by_side: DataFrame,
+    truth: str,
+    base: str,
+    new: str,
+    topics: bool = False,
+    k: int = 5,
+    max_iter: int = 100,
 ) -> Analysis:
     """Everything that is reported about two prediction columns of one table."""
     columns = {name.replace("_Binary", ""): name for name in (base, new)}
@@ -74,5 +80,9 @@ def analyse_runs(
         slices=error_rates_all_slices(side_by_side, truth, columns),
         error_changes=compare_model_errors(side_by_side, truth, base, new),
         changed_rows=error_change_rows(side_by_side, truth, base, new),
-        topics={m: fp_topics(side_by_side, truth, c, k) for m, c in columns.items()} if topics else {},
+        topics={
+            model: fp_topics(side_by_side, truth, column, k, max_iter=max_iter)
+            for model, column in columns.items()
+            if topics
+        },
     )

@@ -42,7 +42,7 @@ def test_merge_and_analyse(spark, tmp_path):
         assert read.count() == 40
         assert read.filter("D_Binary_8B = truth").count() == 40
     side = spark.read.parquet(str(tmp_path / "parquet" / "comparative_model_results_7B_vs_8B"))
-    report = analyse_runs(side, "truth", "D_Binary_7B", "D_Binary_8B", topics=True, k=2)
+    report = analyse_runs(side, "truth", "D_Binary_7B", "D_Binary_8B", topics=True, k=2, max_iter=5)
     metrics = {r["model"]: r for r in report.metrics.collect()}
     assert metrics["D_8B"]["accuracy"] == 1.0 and metrics["D_7B"]["accuracy"] == 0.5
     assert report.error_changes.collect()[0]["fp_fixed"] == 20

@@ -135,7 +135,7 @@ def test_context_document_sections(spark):
     assert docs[2] == "Original Tweet: t\n\n\nReferenced Content:\n- http://l\n"
 
 
-@pytest.mark.parametrize("length,chunks", [(0, 0), (1, 1), (1000, 1), (1001, 2), (1801, 3), (1800, 2)])
+@pytest.mark.parametrize("length,chunks", [(0, 0), (1, 1), (1000, 1), (1001, 2), (1801, 3), (1800, 2), (25800, 32), (25801, 33), (60000, 75)])
 def test_fixed_chunks(spark, length, chunks):
     text = "".join(chr(97 + i % 26) for i in range(length))
     docs = spark.createDataFrame([(1, text)], "post_id int, document string")
