@@ -21,11 +21,14 @@ def top_n_per_group(
     Each input task keeps n rows per group before the shuffle (WindowGroupLimit).
     What is left of a group then goes to ``spread`` tasks by its origin task, and
     only n rows from each of those meet in one task, so a group that holds most
-    of the table is never gathered.
+    of the table is never gathered. ``spread=1`` leaves that step out, for tables
+    that are small already.
     """
+    final = Window.partitionBy(*group).orderBy(*order)
+    if spread == 1:
+        return df.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= n)
     df = df.withColumn("_origin", F.pmod(F.spark_partition_id(), F.lit(spread)))
     partial = Window.partitionBy(*group, "_origin").orderBy(*order)
-    final = Window.partitionBy(*group).orderBy(*order)
     return (
         df.withColumn(rank, F.row_number().over(partial))
         .filter(F.col(rank) <= n)

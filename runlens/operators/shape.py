@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from runlens.functions.text import NO, UNCLEAR, ERROR, YES, text_length
 from runlens.sources.storage import materialize
 
-# Text read as a positive label, length bin edges and their labels.
-POSITIVES = ("Yes", "yes", "Y", "y", "1")
+# What is read as a positive label, length bin edges and their labels.
+POSITIVES = ("Yes", "yes", "Y", "y", "1", 1, True)
 LENGTH_EDGES = (0, 80, 120, 160, 200, 240, 280, 320, 400, 600, 1000)
 LENGTH_LABELS = (
     "0-80", "81-120", "121-160", "161-200", "201-240",
@@ -74,17 +74,21 @@ def assign_batches(df: DataFrame, size: int, *order: str, first_id: int = 0) ->
     return placed.withColumn("batch_id", batch.cast("bigint"))
 
 
-def to_binary(df: DataFrame, column: str, positives: Sequence[str] = POSITIVES) -> DataFrame:
-    """Add ``<column>_Binary``; an unknown column leaves the table as it is."""
+def to_binary(df: DataFrame, column: str, positives: Sequence = POSITIVES) -> DataFrame:
+    """Add ``<column>_Binary``; an unknown column leaves the table as it is.
+
+    Text is compared with the texts among ``positives``, numbers and booleans with
+    the numbers; text that only looks like a boolean is not one.
+    """
     if column not in df.columns:
         return df
     kind = df.schema[column].dataType
+    texts = [p for p in positives if isinstance(p, str)]
+    numbers = [float(p) for p in positives if not isinstance(p, str)]
     if isinstance(kind, T.StringType):
-        positive = F.col(column).isin(*positives)
-    elif isinstance(kind, T.BooleanType):
-        positive = F.col(column)
+        positive = F.col(column).isin(texts)
     else:
-        positive = F.col(column) == F.lit(1)
+        positive = F.col(column).cast("double").isin(numbers)
     return df.withColumn(f"{column}_Binary", flag(positive))
 
 

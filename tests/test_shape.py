@@ -37,6 +37,8 @@ def test_to_binary_types(spark):
     assert [r["v_Binary"] for r in shape.to_binary(floats, "v").collect()] == [1, 0]
     flags = spark.createDataFrame([(True,), (False,), (None,)], "v boolean")
     assert [r["v_Binary"] for r in shape.to_binary(flags, "v").collect()] == [1, 0, 0]
+    assert [r["v_Binary"] for r in shape.to_binary(ints, "v", [2, "x"]).collect()] == [0, 1, 0]
+    assert [r["v_Binary"] for r in shape.to_binary(text, "v", ["no", 1]).collect()] == [0, 0, 0, 0, 1]
 
 
 def test_null_truth_is_no_error(spark):

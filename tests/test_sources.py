@@ -48,9 +48,28 @@ def test_overwrite_own_source(spark, tmp_path):
     tables.write_table(spark.range(10), path)
     tables.write_table(spark.read.parquet(path).filter("id > 5"), path)
     assert spark.read.parquet(path).count() == 4
+    tables.write_table(spark.read.parquet(path).filter("id > 7"))
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(ValueError, match="source path"):
+        tables.write_table(spark.range(3))
     # a sibling whose name only starts the same is another table
     tables.write_table(spark.read.parquet(path), str(tmp_path / "t2"))
-    assert spark.read.parquet(str(tmp_path / "t2")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "t2")).count() == 2
+
+
+def test_partitioned_output_has_few_files(spark, tmp_path):
+    rows = spark.range(4000, numPartitions=16).withColumn("kind", F.when(F.col("id") % 3 == 0, "hot").otherwise("cold"))
+    tables.write_table(rows, str(tmp_path / "t"), partition_by=["kind"])
+    assert spark.read.parquet(str(tmp_path / "t")).groupBy("kind").count().count() == 2
+    files = [f for f in (tmp_path / "t").rglob("part-*")]
+    assert 2 <= len(files) < 16
+
+
+def test_rows_of_one_file_are_spread(spark, tmp_path):
+    path = str(tmp_path / "posts.csv")
+    write_csv(path, ["TweetID", "Text"], [(i, "t") for i in range(100)])
+    spread = tables.read_posts(spark, path, partitions=4)
+    assert spread.rdd.getNumPartitions() == 4 and spread.count() == 100
 
 
 def test_batches_in_numeric_order_last_wins(spark, tmp_path):
