@@ -26,6 +26,8 @@ def test_every_sql_has_a_query():
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_query(spark, duck, name):
     found = queries()[name](spark, SF_DIR)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "CartesianProduct" not in text
     sql = oracle_sql().get(name)
     if sql is None:
         assert found.count() > 0
