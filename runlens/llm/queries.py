@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm.bpe import encode_texts
 from runlens.llm.chat_format import END, CONTENT, START, format_chats, loss_text, read_turns, text_part
 from runlens.llm.exact_dedup import exact_duplicates
+from runlens.llm.fingerprints import as_text, fingerprint_documents
+from runlens.llm.language_id import fit_languages, identify_languages
 from runlens.llm.packing import pack_documents
+from runlens.llm.secret_scan import BASE, find_secrets
+from runlens.llm.toxicity import fit_toxicity, score_toxicity
 from runlens.plans.catalog.registry import Run
 from runlens.plans.fixtures import table
 
@@ -36,6 +40,48 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@_query()
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    kinds = [rule.kind for rule in BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(counted, kinds), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )
+
+
+def _remainder(parts: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+@_query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.filter(_remainder(4) != 2))
+    return identify_languages(docs, model).select(
+        "doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@_query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").filter(_remainder(5) != 0))
+    return score_toxicity(docs, model).select(
+        "doc_id",
+        (_remainder(5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @_query()
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encode_texts(
@@ -63,6 +109,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query()
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint_documents(table(spark, sf_dir, "documents"))
+    texts = {name: as_text(F.col(name)) for name in ("fingerprint", "edited_fingerprint")}
+    return found.withColumns(texts)
+
+
 _ESCAPES = r"len(regexp_extract_all({0}, '\\|<\|[A-Za-z_]+\|>|</?s>|<</?SYS>>|\[/?INST\]'))"
 
 
