@@ -11,8 +11,9 @@ Jaccard similarity.
 Everything is DataFrame expressions. Words are sampled in the task that holds their
 text: neither words nor samples move, only texts by id and finished fingerprints.
 
-Defined cases: a null or empty text, or one of white space alone, has the sentinel
-fingerprint (zeros), which is like itself only; rows that repeat an id get a row each,
+Defined cases: all texts that are null, empty or white space alone have one
+fingerprint, which is like itself only; counts beyond 4,194,303 weigh as that many;
+rows that repeat an id get a row each,
 their neighbour being the next smaller id; of several texts with the neighbour's id
 the smallest prefix and fingerprint are taken; an only document is its own neighbour;
 an empty table gives an empty table; other columns of the input are not read.
@@ -20,25 +21,29 @@ an empty table gives an empty table; other columns of the input are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.sources.storage import materialize
 
-SAMPLES = 64
+SAMPLES = 48
 _WORD_GAP = r"[\x20\x09-\x0D]+"
-_LENGTH_BITS = 15  # the low four bits of a word's hash hold its length
+# A counted word is one number: 38 bits of hash, 22 of its count, 4 of its length.
+_LENGTH = 15
 _LONGEST = 12
+_COUNT = (1 << 22) - 1
 
 
-def weighted_words(text: Column) -> Column:
-    """``array<struct<word: long, weight: double>>`` of a text, one entry per different word."""
+def counted_words(text: Column) -> Column:
+    """``array<long>``: a code per different word of a text; the code 0 when it has none."""
     words = F.filter(F.split(text, _WORD_GAP), lambda w: w != "")
     coded = F.transform(
         words,
-        lambda w: F.xxhash64(w)
-        .bitwiseAND(F.lit(~_LENGTH_BITS))
-        .bitwiseOR(F.least(F.char_length(w), F.lit(_LONGEST)).cast("long")),
+        lambda w: F.shiftleft(F.xxhash64(w), 26).bitwiseOR(
+            F.least(F.char_length(w), F.lit(_LONGEST)).cast("long")
+        ),
     )
     return F.sort_array(coded)
 
@@ -51,18 +56,20 @@ def _runs(coded: Column) -> Column:
     )
 
 
-def _counted(coded: Column, runs: Column) -> Column:
-    return F.transform(
-        F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))),
-        lambda start, i: F.struct(
-            F.get(coded, start).alias("word"), (F.get(runs, i + 1) - start).alias("count")
-        ),
-    )
+def _with_counts(coded: Column, runs: Column) -> Column:
+    def code(start: Column, i: Column) -> Column:
+        count = F.least((F.get(runs, i + 1) - start).cast("long"), F.lit(_COUNT))
+        return F.get(coded, start).bitwiseOR(F.shiftleft(count, 4))
+
+    starts = F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0)))
+    return F.when(F.size(coded) == 0, F.array(F.lit(0).cast("long"))).otherwise(F.transform(starts, code))
 
 
-def _uniform(word_hash: Column, shift: int) -> Column:
-    """Twelve bits of a hash as a number between 0 and 1."""
-    return (F.shiftright(word_hash, shift).bitwiseAND(F.lit(4095)) + 0.5) / 4096.0
+def _product(word_hash: Column, shift: int) -> Column:
+    """Logarithm of the product of two uniform values, of twelve bits of a hash each."""
+    first = F.shiftright(word_hash, shift).bitwiseAND(F.lit(4095)) + 0.5
+    second = F.shiftright(word_hash, shift + 12).bitwiseAND(F.lit(4095)) + 0.5
+    return F.log(first * second) - 24 * math.log(2)
 
 
 def _sample(word_hash: Column, log_weight: Column) -> Column:
@@ -70,9 +77,9 @@ def _sample(word_hash: Column, log_weight: Column) -> Column:
 
     A Gamma(2, 1) value is the negative logarithm of a product of two uniform values.
     """
-    r = -F.log(_uniform(word_hash, 0) * _uniform(word_hash, 12))
-    log_c = F.log(-F.log(_uniform(word_hash, 24) * _uniform(word_hash, 36)))
-    beta = F.shiftrightunsigned(word_hash, 48) / 65536.0
+    r = -_product(word_hash, 0)
+    log_c = F.log(-_product(word_hash, 24))
+    beta = F.shiftrightunsigned(word_hash, 48) * (1 / 65536)
     t = F.floor(log_weight / r + beta)
     log_a = log_c - r * (t - beta + 1.0)
     rank = ((log_a + 128.0) * float(1 << 22)).cast("long")
@@ -80,34 +87,36 @@ def _sample(word_hash: Column, log_weight: Column) -> Column:
     return F.shiftleft(rank, 32).bitwiseOR(identity)
 
 
-def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and ``fingerprint array<long>`` of each row of ``texts`` (``keys``, ``text``).
+def fingerprints(words: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """``keys`` and ``drawn array<long>`` of each row of ``words`` (``keys``, ``words array<long>``).
 
     ``keys`` must name a row; no shuffle is needed when the rows are already
-    partitioned by one of them.
+    partitioned by one of them. The draws of a union of bags are the smaller ones of
+    each bag's, so a part that two texts share may be sampled once.
     """
-    coded = texts.select(*keys, weighted_words(F.col("text")).alias("coded"))
-    runs = coded.select(*keys, "coded", _runs(F.col("coded")).alias("runs"))
-    words = runs.select(*keys, F.explode_outer(_counted(F.col("coded"), F.col("runs"))).alias("w"))
-    length = F.col("w.word").bitwiseAND(F.lit(_LENGTH_BITS))
-    weighted = words.select(
-        *keys, F.col("w.word").alias("word"), F.log(F.col("w.count") * length * length).alias("log_weight")
+    each = words.select(*keys, F.explode("words").alias("code"))
+    length = F.col("code").bitwiseAND(F.lit(_LENGTH))
+    count = F.shiftrightunsigned("code", 4).bitwiseAND(F.lit(_COUNT))
+    word = F.col("code").bitwiseAND(F.lit(~(_COUNT << 4)))
+    weighted = each.select(
+        *keys, word.alias("word"), F.log(F.greatest(count * length * length, F.lit(1))).alias("log_weight")
     )
     hashed = weighted.select(
-        *keys,
-        "log_weight",
-        *[
-            F.when(F.col("word").isNotNull(), F.xxhash64("word", F.lit(j))).alias(f"h{j}")
-            for j in range(samples)
-        ],
+        *keys, "log_weight", *[F.xxhash64("word", F.lit(j)).alias(f"h{j}") for j in range(samples)]
     )
     drawn = hashed.groupBy(*keys).agg(
         *[F.min(_sample(F.col(f"h{j}"), F.col("log_weight"))).alias(f"s{j}") for j in range(samples)]
     )
-    identity = [
-        F.coalesce(F.col(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0)) for j in range(samples)
-    ]
-    return drawn.select(*keys, F.array(*identity).alias("fingerprint"))
+    return drawn.select(*keys, F.array(*[F.col(f"s{j}") for j in range(samples)]).alias("drawn"))
+
+
+def union_of(left: Column, right: Column) -> Column:
+    """Draws of a union of two disjoint bags; a missing bag is empty."""
+    return F.coalesce(F.zip_with(left, right, lambda a, b: F.least(a, b)), left, right)
+
+
+def identities(drawn: Column) -> Column:
+    return F.transform(drawn, lambda s: s.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def likeness(left: Column, right: Column, samples: int = SAMPLES) -> Column:
@@ -181,24 +190,40 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, id_col: str =
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     edited = with_edited(rows, next_ids(rows)).withColumn("row_key", F.monotonically_increasing_id())
-    both = edited.select(
+    keys = ["doc_id", "row_key", "next_id", "n_chars", "edited_sha256"]
+    coded = edited.select(
         "doc_id",
         "row_key",
         "next_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
+        counted_words(F.col("text")).alias("own"),
+        counted_words(F.col("edited")).alias("changed"),
+    )
+    with_runs = coded.select("*", _runs(F.col("own")).alias("own_runs"), _runs(F.col("changed")).alias("changed_runs"))
+    counted = with_runs.select(
+        *keys,
+        _with_counts(F.col("own"), F.col("own_runs")).alias("own"),
+        _with_counts(F.col("changed"), F.col("changed_runs")).alias("changed"),
+    )
+    # words that both texts have equally often are sampled once
+    parts = counted.select(
+        *keys,
         F.explode(
             F.array(
-                F.struct(F.lit(False).alias("changed"), F.col("text").alias("text")),
-                F.struct(F.lit(True).alias("changed"), F.col("edited").alias("text")),
+                F.struct(F.lit("both").alias("part"), F.array_intersect("own", "changed").alias("words")),
+                F.struct(F.lit("own").alias("part"), F.array_except("own", "changed").alias("words")),
+                F.struct(F.lit("changed").alias("part"), F.array_except("changed", "own").alias("words")),
             )
-        ).alias("t"),
-    )
-    keys = ["doc_id", "row_key", "next_id", "n_chars", "edited_sha256", "changed"]
-    drawn = fingerprints(both.select(*keys[:-1], "t.changed", "t.text"), keys, samples)
-    own = F.max(F.when(~F.col("changed"), F.col("fingerprint")))
-    changed = F.max(F.when(F.col("changed"), F.col("fingerprint")))
-    paired = drawn.groupBy(*keys[:-1]).agg(own.alias("fingerprint"), changed.alias("edited_fingerprint"))
+        ).alias("p"),
+    ).select(*keys, "p.part", "p.words")
+    drawn = fingerprints(parts, [*keys, "part"], samples)
+    by_part = drawn.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("part", "drawn"))).alias("by_part"))
+
+    def whole(part: str) -> Column:
+        return identities(union_of(F.col("by_part")["both"], F.col("by_part")[part]))
+
+    paired = by_part.select(*keys, whole("own").alias("fingerprint"), whole("changed").alias("edited_fingerprint"))
     done = materialize(paired.drop("row_key"), "fingerprints")
     following = (
         done.filter("doc_id IS NOT NULL")
