@@ -11,6 +11,7 @@ from runlens.llm.chat_format import END, CONTENT, START, format_chats, loss_text
 from runlens.llm.exact_dedup import exact_duplicates
 from runlens.llm.fingerprints import as_text, fingerprint_documents
 from runlens.llm.language_id import fit_languages, identify_languages
+from runlens.llm.minhash_dedup import near_duplicates
 from runlens.llm.packing import pack_documents
 from runlens.llm.secret_scan import BASE, find_secrets
 from runlens.llm.toxicity import fit_toxicity, score_toxicity
@@ -116,6 +117,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(texts)
 
 
+@_query()
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _ESCAPES = r"len(regexp_extract_all({0}, '\\|<\|[A-Za-z_]+\|>|</?s>|<</?SYS>>|\[/?INST\]'))"
 
 
