@@ -14,6 +14,7 @@ from runlens.llm.language_id import fit_languages, identify_languages
 from runlens.llm.minhash_dedup import near_duplicates
 from runlens.llm.packing import pack_documents
 from runlens.llm.secret_scan import BASE, find_secrets
+from runlens.llm.substring_dedup import remove_repeated_windows
 from runlens.llm.toxicity import fit_toxicity, score_toxicity
 from runlens.plans.catalog.registry import Run
 from runlens.plans.fixtures import table
@@ -41,6 +42,30 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@_query(r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+  FROM documents),
+n AS (SELECT doc_id, words, len(words) AS n_words FROM w),
+win AS (
+  SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS said
+  FROM n, unnest(range(1, n_words - 11)) AS t(i)),
+least AS (SELECT said, min(doc_id) AS first_id FROM win GROUP BY said),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS places FROM (
+    SELECT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN least USING (said) WHERE first_id < doc_id)
+  GROUP BY doc_id),
+flat AS (
+  SELECT doc_id, n_words, list_filter(words, (x, i) -> NOT list_contains(coalesce(places, []), i)) AS kept
+  FROM n LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_words, n_words - len(kept) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM flat""")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_windows(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @_query()
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
