@@ -92,8 +92,10 @@ def fit_languages(
         share = sum((F.coalesce(F.col(f"`{x}`"), F.lit(0)) / totals[x] for x in languages), F.lit(0.0))
         return by_name.orderBy(share.desc(), name).limit(most).collect()
 
-    found_words = frequent(words, "word", max_words) if languages else []
-    found_grams = frequent(grams, "gram", max_grams) if languages else []
+    if not languages:
+        return LanguageModel([], {}, {}, np.zeros((0, 0), np.float32), np.zeros(0), longest)
+    found_words = frequent(words, "word", max_words)
+    found_grams = frequent(grams, "gram", max_grams)
     words.unpersist()
 
     def logs(rows, per_language: np.ndarray) -> np.ndarray:
@@ -114,8 +116,8 @@ def fit_languages(
         languages,
         {r["word"]: i for i, r in enumerate(found_words)},
         gram_rows,
-        np.concatenate(table).astype(np.float32) if languages else np.zeros((0, 0), np.float32),
-        n / n.sum() if languages else n,
+        np.concatenate(table).astype(np.float32),
+        n / n.sum(),
         longest,
     )
 

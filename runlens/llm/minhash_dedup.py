@@ -1,7 +1,7 @@
 """Near duplicates by MinHash: universal hash minima, bands, verification, components.
 
-A document's set is its distinct shingles of two lower-cased words (one shorter text:
-the whole sequence). Equal sets are one class from the start, so copies cost one row.
+A document's set is its distinct shingles of ``size`` lower-cased words (a shorter
+text has one, its whole sequence). Equal sets are one class from the start, so copies cost one row.
 288 minima in 48 bands of 6 lose a pair of similarity 0.8 with a chance under 1e-6.
 
 Links need not all be listed to find the components. In each bucket every class is
@@ -33,7 +33,7 @@ from runlens.llm.words import U, WordHasher, mixed
 from runlens.sources.storage import materialize
 
 BANDS, ROWS = 48, 6
-SHINGLE = 2
+SHINGLE = 5
 PERCENT = 80
 BLOCK = 256
 
@@ -81,14 +81,14 @@ class Signer:
         return mixed(summed + np.arange(self.bands, dtype=np.uint64)).view(np.int64)
 
 
-def _signed(rows: DataFrame) -> DataFrame:
+def _signed(rows: DataFrame, size: int) -> DataFrame:
     """``doc_id, n_shingles, set_key, bands`` of every row; key and bands null for empty sets."""
     schema = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, signer = WordHasher(lower=True), Signer()
         for batch in batches:
-            for first, sets in shingle_sets(batch.column(1), hasher):
+            for first, sets in shingle_sets(batch.column(1), hasher, size):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
                 for i in full:
@@ -114,7 +114,7 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs ``u, v`` whose full sets are similar enough."""
     with_texts = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u").join(
         texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v"
@@ -123,14 +123,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
         for batch in batches:
-            left = [s for _, sets in shingle_sets(batch.column(2), hasher) for s in sets]
-            right = [s for _, sets in shingle_sets(batch.column(3), hasher) for s in sets]
+            left = [s for _, sets in shingle_sets(batch.column(2), hasher, size) for s in sets]
+            right = [s for _, sets in shingle_sets(batch.column(3), hasher, size) for s in sets]
             yield batch.select([0, 1]).filter(pa.array([_linked(a, b, percent) for a, b in zip(left, right)], pa.bool_()))
 
     return with_texts.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
-def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int, size: int) -> pd.DataFrame:
     """One link per pair of components among the classes of two blocks.
 
     Shared shingles are counted by a product of 0/1 matrices, columns in slices.
@@ -138,7 +138,7 @@ def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.Da
     sides = []
     for side in (left, right):
         texts = pa.array(side["text"], pa.large_string())
-        sides.append([s for _, sets in shingle_sets(texts, WordHasher(lower=True)) for s in sets])
+        sides.append([s for _, sets in shingle_sets(texts, WordHasher(lower=True), size) for s in sets])
     sizes = [np.array([len(s) for s in sets]) for sets in sides]
     values, inverse = np.unique(np.concatenate([*sides[0], *sides[1]]), return_inverse=True)
     rows = np.repeat(np.arange(len(sides[0]) + len(sides[1])), np.concatenate(sizes))
@@ -166,7 +166,9 @@ def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.Da
     return found.drop_duplicates(["a", "b"])[["u", "v"]].astype("int64")
 
 
-def _cross_links(families: DataFrame, links: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+def _cross_links(
+    families: DataFrame, links: DataFrame, texts: DataFrame, percent: int, size: int, block: int
+) -> DataFrame:
     """Links between the preliminary components of each family (``node, family``)."""
     members = families.join(
         components(links).select("node", F.col("component").alias("found")), "node", "left"
@@ -211,7 +213,7 @@ def _cross_links(families: DataFrame, links: DataFrame, texts: DataFrame, percen
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        return _block_links(left, right.set_axis(left.columns, axis=1), percent)
+        return _block_links(left, right.set_axis(left.columns, axis=1), percent, size)
 
     keys = ["family", "block", "outer_block"]
     return (
@@ -222,13 +224,18 @@ def _cross_links(families: DataFrame, links: DataFrame, texts: DataFrame, percen
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    size: int = SHINGLE,
+    percent: int = PERCENT,
+    block: int = BLOCK,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    signed = materialize(_signed(rows), "signatures")
+    signed = materialize(_signed(rows, size), "signatures")
     full = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
     firsts = classes.select(F.col("class_id").alias("doc_id"), "set_key")
@@ -256,8 +263,8 @@ def near_duplicates(
         .agg(F.min("text").alias("text")),
         "texts",
     )
-    links = materialize(_verified(stars, texts, percent), "links")
-    crossed = materialize(_cross_links(families, links, texts, percent, block), "links")
+    links = materialize(_verified(stars, texts, percent, size), "links")
+    crossed = materialize(_cross_links(families, links, texts, percent, size, block), "links")
     found = components(links.unionByName(crossed)).select(F.col("node").alias("class_id"), F.col("component").alias("linked"))
     placed = classes.join(found, "class_id", "left").select(
         "set_key", F.coalesce("linked", "class_id").alias("component_id")
@@ -274,8 +281,10 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``docs`` with one document of each component: the smallest id; all columns stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    found = near_duplicates(docs, size, percent, id_col=id_col, text_col=text_col)
     dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(dropped, id_col, "left_anti")

@@ -44,7 +44,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents),
 n AS (SELECT doc_id, words, len(words) AS n_words FROM w),
 win AS (
@@ -56,7 +56,7 @@ gone AS (
     SELECT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN least USING (said) WHERE first_id < doc_id)
   GROUP BY doc_id),
 flat AS (
-  SELECT doc_id, n_words, list_filter(words, (x, i) -> NOT list_contains(coalesce(places, []), i)) AS kept
+  SELECT doc_id, n_words, list_filter(words, lambda x, i: NOT list_contains(coalesce(places, []), i)) AS kept
   FROM n LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n_words, n_words - len(kept) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256
 FROM flat""")
@@ -144,7 +144,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
 _ESCAPES = r"len(regexp_extract_all({0}, '\\|<\|[A-Za-z_]+\|>|</?s>|<</?SYS>>|\[/?INST\]'))"

@@ -13,9 +13,9 @@ from runlens.llm.minhash_dedup import drop_near_duplicates, near_duplicates, shi
 from runlens.llm.words import WordHasher
 
 
-def shingles(text):
+def shingles(text, size=2):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(words)} if len(words) == 1 else set(zip(words, words[1:]))
+    return {tuple(words)} if 0 < len(words) < size else set(zip(*[words[k:] for k in range(size)]))
 
 
 def union_find(nodes, edges):
@@ -32,8 +32,8 @@ def union_find(nodes, edges):
     return {n: top(n) for n in nodes}
 
 
-def brute(rows):
-    sets = {i: shingles(t) for i, t in rows}
+def brute(rows, size=2):
+    sets = {i: shingles(t, size) for i, t in rows}
     ids = sorted(sets)
     near = lambda a, b: a and b and 100 * len(a & b) >= 80 * len(a | b)
     edges = [(i, j) for k, i in enumerate(ids) for j in ids[k + 1 :] if near(sets[i], sets[j])]
@@ -66,7 +66,7 @@ HARD = [None, "", " \t\n", "one", "One", "one two", "ONE\x0btwo", "one two three
 
 def test_against_brute_force(documents, with_clashes):
     rows = [(i * 7 % 1009, t) for i, t in enumerate(HARD + variants())] + [(2000, "one two"), (2000, "one two")]
-    found = near_duplicates(with_clashes(documents(rows)), block=16)
+    found = near_duplicates(with_clashes(documents(rows)), size=2, block=16)
     assert sorted(tuple(r) for r in found.collect()) == brute(rows)
 
 
@@ -75,7 +75,7 @@ def test_filter(documents):
     docs = documents(rows)
     kept = drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [i for i, _, _, keep in brute(rows) if keep]
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, _, _, keep in brute(rows, 5) if keep]
 
 
 def test_empty(documents):
@@ -86,7 +86,7 @@ def test_empty(documents):
 @given(st.lists(st.text(alphabet="abAB é\t\n\x0c ", max_size=30), max_size=8), st.integers(1, 40))
 def test_sets_of_blocks(texts, block):
     found = {}
-    for first, sets in shingle_sets(pa.array(texts, pa.string()), WordHasher(lower=True, block=block)):
+    for first, sets in shingle_sets(pa.array(texts, pa.string()), WordHasher(lower=True, block=block), 2):
         found |= {first + k: s for k, s in enumerate(sets)}
     assert [len(found[i]) for i in range(len(texts))] == [len(shingles(t)) for t in texts]
     for i, a in enumerate(texts):
