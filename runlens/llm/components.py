@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.sources.storage import materialize
 
 
+def slot(*keys: str) -> Column:
+    """A function of the keys, to group by next to them.
+
+    A join on the keys alone then exchanges the grouped side again, and with an
+    exchange right below both sides adaptive execution can split a hot key.
+    """
+    return F.pmod(F.xxhash64(*keys), F.lit(1024)).alias("_slot")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    # the exchange lets adaptive execution split a node with very many neighbours
-    return (
-        both.filter("v > u").join(least.repartition("u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    )
+    least = both.groupBy("u", slot("u")).agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them; edges go from large to small."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least.repartition("u"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u", slot("u")).agg(F.min("v").alias("m")).drop("_slot")
+    linked = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -14,7 +14,7 @@ text: neither words nor samples move, only texts by id and finished fingerprints
 Defined cases: all texts that are null, empty or white space alone have one
 fingerprint, which is like itself only; counts beyond 4,194,303 weigh as that many;
 rows that repeat an id get a row each,
-their neighbour being the next smaller id; of several texts with the neighbour's id
+their neighbour being the next smaller id; a row without id comes before all others; of several texts with the neighbour's id
 the smallest prefix and fingerprint are taken; an only document is its own neighbour;
 an empty table gives an empty table; other columns of the input are not read.
 """
@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 
 from runlens.sources.storage import materialize
 
-SAMPLES = 48
+SAMPLES = 40
+_NO_ID = (1 << 63) - 1  # stands for a missing id, after all others
 _WORD_GAP = r"[\x20\x09-\x0D]+"
 # A counted word is one number: 38 bits of hash, 22 of its count, 4 of its length.
 _LENGTH = 15
 _LONGEST = 12
 _COUNT = (1 << 22) - 1
+_IDENTITY = (1 << 31) - 1
 
 
 def counted_words(text: Column) -> Column:
@@ -73,7 +75,7 @@ def _product(word_hash: Column, shift: int) -> Column:
 
 
 def _sample(word_hash: Column, log_weight: Column) -> Column:
-    """Order of ``a`` in the high bits, identity of (word, quantised weight) in the low 32.
+    """Order of ``a`` in the high bits, identity of (word, quantised weight) in the low 31.
 
     A Gamma(2, 1) value is the negative logarithm of a product of two uniform values.
     """
@@ -83,8 +85,8 @@ def _sample(word_hash: Column, log_weight: Column) -> Column:
     t = F.floor(log_weight / r + beta)
     log_a = log_c - r * (t - beta + 1.0)
     rank = ((log_a + 128.0) * float(1 << 22)).cast("long")
-    identity = (word_hash + t * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.shiftleft(rank, 32).bitwiseOR(identity)
+    identity = word_hash.bitwiseXOR(t * F.lit(2654435761)).bitwiseAND(F.lit(_IDENTITY))
+    return F.shiftleft(rank, 31).bitwiseOR(identity)
 
 
 def fingerprints(words: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -116,7 +118,7 @@ def union_of(left: Column, right: Column) -> Column:
 
 
 def identities(drawn: Column) -> Column:
-    return F.transform(drawn, lambda s: s.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.transform(drawn, lambda s: s.bitwiseAND(F.lit(_IDENTITY)).cast("int"))
 
 
 def likeness(left: Column, right: Column, samples: int = SAMPLES) -> Column:
@@ -137,7 +139,7 @@ def next_ids(ids: DataFrame) -> DataFrame:
     and across ranges by the ranges' largest ids, one row per range.
     """
     spark = ids.sparkSession
-    dealt = ids.select("doc_id").filter("doc_id IS NOT NULL").distinct().repartitionByRange("doc_id")
+    dealt = ids.select("doc_id").distinct().repartitionByRange("doc_id")
     ranges = materialize(dealt.withColumn("part", F.spark_partition_id()), "ids")
     tops = ranges.groupBy("part").agg(F.max("doc_id").alias("top"))
     # one row per range: a few thousand numbers at most
@@ -156,7 +158,8 @@ def with_edited(docs: DataFrame, neighbours: DataFrame) -> DataFrame:
     """``doc_id, next_id, text, edited`` per row of ``docs`` (``doc_id, text``).
 
     The last third of the code points is replaced by the first as many, or all, of
-    the neighbour's text. Only that part of a neighbour's text moves to the document.
+    the neighbour's text. Only that part of a neighbour's text moves to the document;
+    both joins read one exchange of the texts by id, which must not be null.
     """
     sized = docs.select("doc_id", F.char_length("text").alias("n"))
     wanted = (
@@ -184,10 +187,11 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, id_col: str =
     """Fingerprints of every text and its edited text, with their likenesses.
 
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint`` (arrays of
-    32-bit numbers), ``near_edited, near_next``.
+    31-bit numbers), ``near_edited, near_next``.
     """
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     edited = with_edited(rows, next_ids(rows)).withColumn("row_key", F.monotonically_increasing_id())
     keys = ["doc_id", "row_key", "next_id", "n_chars", "edited_sha256"]
@@ -226,12 +230,11 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES, id_col: str =
     paired = by_part.select(*keys, whole("own").alias("fingerprint"), whole("changed").alias("edited_fingerprint"))
     done = materialize(paired.drop("row_key"), "fingerprints")
     following = (
-        done.filter("doc_id IS NOT NULL")
-        .groupBy(F.col("doc_id").alias("next_id"))
+        done.groupBy(F.col("doc_id").alias("next_id"))
         .agg(F.min("fingerprint").alias("next_fingerprint"))
     )
     return done.join(following, "next_id", "left").select(
-        "doc_id",
+        F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
         "fingerprint",

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.components import components
+from runlens.llm.components import components, slot
 from runlens.llm.words import U, WordHasher, mixed
 from runlens.sources.storage import materialize
 
@@ -237,20 +237,20 @@ def near_duplicates(
     )
     signed = materialize(_signed(rows, size), "signatures")
     full = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
+    classes = full.groupBy("set_key", slot("set_key")).agg(F.min("doc_id").alias("class_id")).drop("_slot")
     firsts = classes.select(F.col("class_id").alias("doc_id"), "set_key")
     bucketed = (
         full.join(firsts, ["doc_id", "set_key"], "left_semi")
         .select("doc_id", F.explode("bands").alias("bucket"))
     )
     buckets = (
-        bucketed.groupBy("bucket")
+        bucketed.groupBy("bucket", slot("bucket"))
         .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
         .filter("least < most")
         .select("bucket", "least")
     )
     stars = materialize(
-        bucketed.join(buckets.repartition("bucket"), "bucket")
+        bucketed.join(buckets, "bucket")
         .filter("doc_id <> least")
         .select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
         .distinct(),
@@ -271,7 +271,7 @@ def near_duplicates(
     )
     return (
         signed.select("doc_id", "n_shingles", "set_key")
-        .join(placed.repartition("set_key"), "set_key", "left")
+        .join(placed, "set_key", "left")
         .select(
             "doc_id",
             "n_shingles",

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlens.llm.components import slot
 from runlens.llm.fm_index import FMIndex
 from runlens.llm.words import U, WordHasher, mixed
 from runlens.sources.storage import materialize
@@ -253,13 +254,13 @@ def remove_repeated_windows(
     )
     anchors = _anchors(rows, size)
     shared = (
-        anchors.groupBy("anchor")
+        anchors.groupBy("anchor", slot("anchor"))
         .agg(F.count(F.lit(1)).alias("docs"))
         .filter("docs > 1")
         .select("anchor", (F.col("docs") >= hot_docs).alias("is_hot"))
     )
     wanted = materialize(
-        anchors.join(shared.repartition("anchor"), "anchor")
+        anchors.join(shared, "anchor")
         .groupBy("doc_id")
         .agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot")),
         "anchors",
