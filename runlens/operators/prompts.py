@@ -2,50 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import batched
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from runlens.sources.storage import bounded_rows
-
-MAX_DEFINITIONS = 256
-
-# Default wording of the prompt that carries retrieved context; pass your own to
-# change it. Slots: {definition} {post_id} {text} {definition_text} {points}
-CONTEXT_PROMPT = (
-    "Judge the post below by the {definition} definition.\n\n"
-    "Post ID: {post_id}\nPost text: {text}\n\n{definition_text}\n\n"
-    "Weigh these points:\n{points}\n\n"
-    "Explain your reasoning. Begin the answer with \"Decision: Yes\" or \"Decision: No\"."
-)
-CONTEXT_POINTS = (
-    "the whole context, including the thread the post belongs to",
-    "whether the post reports on the behaviour instead of showing it",
-    "whether the post calls the behaviour out",
-    "whether the post uses known tropes or stereotypes",
-    "whether the post is criticism of a policy, which alone does not meet the definition",
-)
+DEFINITIONS_AT_ONCE = 128
 CALLOUT_NAME = "CALLOUT"
 
 
 def build_tasks(posts: DataFrame, definitions: DataFrame) -> DataFrame:
     """One row per post and definition; every column of ``definitions`` is added.
 
-    Definitions are few by nature. Their number is checked, and they become an
-    array literal exploded in place: each post is read once, nothing is shuffled,
-    and there is no join.
+    Definitions are read in groups of ``DEFINITIONS_AT_ONCE``; each group becomes an
+    array literal exploded in place. Nothing is shuffled, there is no join, and any
+    number of definitions works: a further group reads the posts once more.
     """
-    rows = bounded_rows(definitions, MAX_DEFINITIONS, "definitions")
-    if not rows:
+    groups = [posts.select("*", F.inline(_literals(rows, definitions))) for rows in _groups(definitions)]
+    if not groups:
         return posts.limit(0).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in definitions.schema))
-    literals = F.array(
+    return reduce(DataFrame.unionByName, groups)
+
+
+def _groups(definitions: DataFrame) -> Iterator[Sequence[Row]]:
+    return batched(definitions.toLocalIterator(), DEFINITIONS_AT_ONCE)
+
+
+def _literals(rows: Sequence[Row], definitions: DataFrame) -> Column:
+    return F.array(
         *(
             F.struct(*(F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in definitions.schema))
             for row in rows
         )
     )
-    return posts.select("*", F.inline(literals))
 
 
 def fill(template: Column, **slots: Column) -> Column:
@@ -62,17 +53,17 @@ def render_prompts(tasks: DataFrame) -> DataFrame:
 
 
 def render_context_prompt(
-    tasks: DataFrame,
-    template: str = CONTEXT_PROMPT,
-    points: Sequence[str] = CONTEXT_POINTS,
-    short_text: str = "short_text",
+    tasks: DataFrame, template: Column | str, short_text: str = "short_text"
 ) -> DataFrame:
-    """``context_prompt`` with post id (or Unknown), text and the definition's short text."""
-    listed = "\n".join(f"{i}. {point}" for i, point in enumerate(points, 1))
+    """``context_prompt`` from the caller's ``template``: a column, or the name of one.
+
+    Slots are {definition}, {post_id} (Unknown if missing), {definition_text} (the
+    definition's short text, or its name) and {text}.
+    """
     named = F.concat(F.lit("Using the "), F.col("definition"), F.lit(" definition."))
     definition_text = F.coalesce(F.col(short_text), named) if short_text in tasks.columns else named
     prompt = fill(
-        F.lit(template.replace("{points}", listed)),
+        F.col(template) if isinstance(template, str) else template,
         definition=F.col("definition"),
         post_id=F.coalesce(F.col("post_id").cast("string"), F.lit("Unknown")),
         definition_text=definition_text,

@@ -88,7 +88,11 @@ def _(spark, d):
     return scored.select("post_id", "definition", "answer", "status")
 
 
-@query("sc01_score_model")
+# fitted on the labelled posts, applied to all of them
+@query(
+    "sc01_score_model",
+    fx.with_sql(fx.POSTS_SQL) + "SELECT post_id, truth, true AS decided, true AS sure FROM posts",
+)
 def _(spark, d):
     posts = topics.tokenize(fx.posts(spark, d))
     model = Pipeline(
@@ -96,8 +100,13 @@ def _(spark, d):
             HashingTF(numFeatures=1 << 12, inputCol="tokens", outputCol="features"),
             LogisticRegression(labelCol="truth", maxIter=10, regParam=0.1),
         ]
-    ).fit(posts)
-    return scoring.score_model(posts, model).select("post_id", "truth", "decision", "confidence")
+    ).fit(posts.filter("truth IS NOT NULL"))
+    return scoring.score_model(posts, model).select(
+        "post_id",
+        "truth",
+        F.col("decision").isin("Yes", "No").alias("decided"),
+        F.col("confidence").between(0.5, 1).alias("sure"),
+    )
 
 
 @query(
@@ -161,9 +170,21 @@ def _(spark, d):
     TASKS_SQL + f"SELECT post_id, definition, {ANSWER_SQL} AS answer FROM tasks",
 )
 def _(spark, d):
-    scored = scoring.score_in_waves(
-        tasks(spark, d), lambda part: scoring.score_rule(part, rule_answer()), scratch_path(spark, "waves"), 3
-    )
+    """A run that was stopped, gone on with another number of waves and with added tasks."""
+    path, all_tasks = scratch_path(spark, "waves"), tasks(spark, d)
+    waves = []
+
+    def stopping(part):
+        waves.append(part)
+        if len(waves) == 2:
+            raise InterruptedError("the run is stopped")
+        return scoring.score_rule(part, rule_answer())
+
+    try:
+        scoring.score_in_waves(all_tasks.filter("post_id % 3 <> 0"), stopping, path, 3)
+    except InterruptedError:
+        pass
+    scored = scoring.score_in_waves(all_tasks, lambda part: scoring.score_rule(part, rule_answer()), path, 2)
     return scored.select("post_id", "definition", "answer")
 
 
@@ -178,8 +199,10 @@ def _(spark, d):
     contexts = fx.posts(spark, d).filter(F.col("quality") == 0).select(
         "post_id", F.col("keyword").alias("context")
     )
-    prepared = tasks(spark, d).withColumn("context_prompt", F.concat(F.lit("With context: "), "text"))
-    return scoring.with_fallback(prepared, contexts).select(
+    posts = scoring.with_fallback(fx.posts(spark, d), contexts)
+    built = prompts.render_prompts(prompts.build_tasks(posts, two_definitions(spark, d)))
+    prepared = built.withColumn("context_prompt", F.concat(F.lit("With context: "), "text"))
+    return scoring.choose_prompt(prepared).select(
         "post_id", "definition", "mode", F.md5("prompt").alias("prompt_md5")
     )
 
@@ -196,7 +219,9 @@ SELECT post_id, keyword, max(CASE WHEN definition = 'D0' THEN decision END) AS "
 FROM parsed GROUP BY post_id, keyword""",
 )
 def _(spark, d):
-    scored = scoring.score_rule(tasks(spark, d), rule_answer(), fault())
+    numbered = scoring.with_row_ids(fx.posts(spark, d))
+    built = prompts.render_prompts(prompts.build_tasks(numbered, two_definitions(spark, d)))
+    scored = scoring.score_once(scoring.score_rule(built, rule_answer(), fault()).drop("prompt", "template"))
     return scoring.pivot_results(scoring.parse_scored(scored), ["post_id", "keyword"], ["D0", "D1"])
 
 

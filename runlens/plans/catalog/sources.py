@@ -110,7 +110,7 @@ def _(spark, d):
     path = scratch_path(spark, "partials")
     posts = fx.posts(spark, d)
     tables.write_table(post_file(posts.filter(F.col("quality") == 0)), f"{path}/run_7B_part1.csv", "csv")
-    tables.write_table(post_file(posts.filter(F.col("quality") != 0)), f"{path}/run_7B_part2.csv", "csv")
+    tables.write_table(post_file(posts.filter(~F.col("quality").eqNullSafe(0))), f"{path}/run_7B_part2.csv", "csv")
     for other in ("run_17B_part1.csv", "temp_complete_7B.csv"):
         tables.write_table(post_file(posts), f"{path}/{other}", "csv")
     return batches.read_partials(spark, path, "7B").select("post_id", "keyword", "source_file")
@@ -164,14 +164,19 @@ def _(spark, d):
     return spark.read.parquet(path).select("l_orderkey", "l_linenumber", "keyword", "change_class")
 
 
-@query("io08_index_round_trip", "SELECT vec_id, label FROM embeddings")
+@query("io08_index_round_trip", "SELECT vec_id, label, vec_id AS nearest FROM embeddings")
 def _(spark, d):
+    """Write an index, read it from its path alone, and find each vector in it again."""
     path = scratch_path(spark, "index")
     vectors = fx.table(spark, d, "embeddings")
     cells = retrieval.fit_cells(vectors, 8)
     assert index.read_index(spark, path) is None
-    index.write_index(retrieval.assign_cells(vectors, cells), path, by_cell=True)
-    return index.read_index(spark, path).select("vec_id", "label")
+    index.write_index(retrieval.assign_cells(vectors, cells), path, cells=cells)
+    stored = index.read_index(spark, path)
+    asked = vectors.select(F.col("vec_id").alias("query_id"), "embedding")
+    found = retrieval.topk_approx(asked, stored.chunks, stored.cells, k=1, n_probe=1)
+    nearest = found.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("nearest"))
+    return stored.chunks.select("vec_id", "label").join(nearest, "vec_id")
 
 
 @query(

@@ -12,7 +12,7 @@ from runlens.operators.cleaning import clean_posts
 from runlens.operators.shape import stack
 from runlens.plans.catalog.shape import AB_SQL, parsed
 from runlens.sources.definitions import missing_definitions, read_definitions, save_definition
-from runlens.sources.storage import bounded_rows, scratch_path
+from runlens.sources.storage import scratch_path
 
 STOP_WORDS = ("the", "and", "of", "to", "in", "de", "la", "der", "und")
 
@@ -112,7 +112,7 @@ FROM documents GROUP BY lang""",
 def _(spark, d):
     folder = scratch_path(spark, "definitions")
     languages = fx.table(spark, d, "documents").groupBy("lang").count()
-    for row in bounded_rows(languages, prompts.MAX_DEFINITIONS, "definitions"):
+    for row in languages.toLocalIterator():
         save_definition(spark, folder, row["lang"], f"Posts in {row['lang']}: {row['count']}\n{{text}}")
     return read_definitions(spark, folder)
 
@@ -171,31 +171,44 @@ def _(spark, d):
     )
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
+# a context template per definition, worded from the tables
+CONTEXT_SLOTS = "' | {definition} | {post_id} | {definition_text} | {text}'"
+
+
+def with_context_template(spark, d):
+    sources = fx.table(spark, d, "documents").groupBy("lang").count()
+    listed = sources.agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "lang", F.col("count").cast("string")))), "; ").alias("points")
+    )
+    template = F.concat("points", F.expr(CONTEXT_SLOTS))
+    return two_definitions(spark, d).withColumn("context_template", listed.select(template).scalar())
 
 
 def _context_prompt_sql() -> str:
-    points = "\n".join(f"{i}. {p}" for i, p in enumerate(prompts.CONTEXT_POINTS, 1))
-    sql = _quoted(prompts.CONTEXT_PROMPT.replace("{points}", points))
+    sql = "context_template"
     for slot, value in (
         ("definition", "definition"),
         ("post_id", "CAST(post_id AS VARCHAR)"),
         ("definition_text", "'Using the ' || definition || ' definition.'"),
-        ("text", "text"),
+        ("text", "coalesce(text, '')"),
     ):
         sql = f"replace({sql}, '{{{slot}}}', {value})"
     return sql
 
 
+TEMPLATE_SQL = f"""templates AS (
+  SELECT string_agg(lang || ': ' || n, '; ' ORDER BY lang || ': ' || n) || {CONTEXT_SLOTS} AS context_template
+  FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang))"""
+
+
 @query(
     "tx07_render_context_prompt",
-    fx.with_sql(fx.POSTS_SQL, DEFINITIONS_SQL)
-    + f"SELECT post_id, definition, md5({_context_prompt_sql()}) AS prompt_md5 FROM posts, definitions",
+    fx.with_sql(fx.POSTS_SQL, DEFINITIONS_SQL, TEMPLATE_SQL)
+    + f"SELECT post_id, definition, md5({_context_prompt_sql()}) AS prompt_md5 FROM posts, definitions, templates",
 )
 def _(spark, d):
-    tasks = prompts.build_tasks(fx.posts(spark, d), two_definitions(spark, d))
-    return prompts.render_context_prompt(tasks).select(
+    tasks = prompts.build_tasks(fx.posts(spark, d), with_context_template(spark, d))
+    return prompts.render_context_prompt(tasks, "context_template").select(
         "post_id", "definition", F.md5("context_prompt").alias("prompt_md5")
     )
 
@@ -209,7 +222,7 @@ DOCUMENT_SQL = """docs AS (
 @query(
     "vs01_context_docs",
     fx.with_sql(fx.POSTS_SQL, DOCUMENT_SQL)
-    + """SELECT post_id, md5(document) AS document_md5, username AS author, '' AS date, truth AS label, keyword FROM docs""",
+    + """SELECT post_id, md5(document) AS document_md5, username AS author, '' AS date, coalesce(truth, 0) AS label, keyword FROM docs""",
 )
 def _(spark, d):
     docs = context.context_docs(fx.posts(spark, d))
@@ -234,12 +247,8 @@ def _(spark, d):
     return context.context_metadata(rows).select("metadata.*")
 
 
-DEPTH = 5
-
-
 def turns_in_context(spark, d):
-    turns = fx.table(spark, d, "conversations")
-    return context.conversation_context(turns, depth=DEPTH, block=1000)
+    return context.conversation_context(fx.table(spark, d, "conversations"), depth=None)
 
 
 @query(
@@ -247,8 +256,8 @@ def turns_in_context(spark, d):
     f"""SELECT conv_id, turn, lag(text) OVER c AS parent, CAST(len(thread) AS INTEGER) AS n_thread,
        md5(array_to_string(thread, '|')) AS thread_md5, CAST(len(replies) AS INTEGER) AS n_replies,
        md5(array_to_string(replies, '|')) AS replies_md5
-FROM (SELECT *, coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {DEPTH} PRECEDING AND 1 PRECEDING), []) AS thread,
-             coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND {DEPTH} FOLLOWING), []) AS replies
+FROM (SELECT *, coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS thread,
+             coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), []) AS replies
       FROM conversations)
 WINDOW c AS (PARTITION BY conv_id ORDER BY turn)""",
 )
@@ -264,6 +273,32 @@ def _(spark, d):
     )
 
 
+DEPTH = 3
+
+
+@query(
+    "tx10_conversation_window",
+    f"""SELECT conv_id, turn, CAST(len(thread) AS INTEGER) AS n_thread, md5(array_to_string(thread, '|')) AS thread_md5,
+       CAST(len(replies) AS INTEGER) AS n_replies, greatest(r - 1 - {DEPTH}, 0) AS thread_left_out,
+       greatest(n - r - {DEPTH}, 0) AS replies_left_out
+FROM (SELECT *, row_number() OVER c AS r, count(*) OVER (PARTITION BY conv_id) AS n,
+             coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {DEPTH} PRECEDING AND 1 PRECEDING), []) AS thread,
+             coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND {DEPTH} FOLLOWING), []) AS replies
+      FROM conversations WINDOW c AS (PARTITION BY conv_id ORDER BY turn))""",
+)
+def _(spark, d):
+    turns = fx.table(spark, d, "conversations")
+    return context.conversation_context(turns, DEPTH, block=1000).select(
+        "conv_id",
+        "turn",
+        F.size("thread").alias("n_thread"),
+        F.md5(F.array_join("thread", "|")).alias("thread_md5"),
+        F.size("replies").alias("n_replies"),
+        "thread_left_out",
+        "replies_left_out",
+    )
+
+
 @query(
     "tx08_context_document",
     f"""SELECT conv_id, turn, md5('Original Tweet: ' || text || repeat(chr(10), 2)
@@ -274,8 +309,8 @@ def _(spark, d):
        || CASE WHEN len(replies) > 0 THEN chr(10) || 'Replies:' || chr(10)
           || array_to_string(list_transform(replies, lambda x: '- ' || x || chr(10)), '') ELSE '' END) AS document_md5
 FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS parent,
-             list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN {DEPTH} PRECEDING AND 1 PRECEDING) AS thread,
-             list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND {DEPTH} FOLLOWING) AS replies
+             list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS thread,
+             list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS replies
       FROM conversations)""",
 )
 def _(spark, d):
@@ -295,10 +330,30 @@ def _(spark, d):
     )
 
 
-@query("tx11_chunk_at_separators")
+# the parts follow each other and cover the text; each ends at a line end, a space or the full length
+@query(
+    "tx11_chunk_at_separators",
+    """SELECT doc_id, md5(text) AS text_md5, true AS bounded, true AS overlapping FROM documents WHERE length(text) > 0""",
+)
 def _(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id", "text")
-    return context.chunk_documents(docs, "text", separator_aware=True)
+    chunks = context.chunk_documents(docs, "text", separator_aware=True)
+    size, overlap = context.CHUNK_SIZE, context.CHUNK_OVERLAP
+    listed = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "chunk"))).alias("chunks"))
+
+    def own(chunk, i):
+        return F.when(i == 0, chunk["chunk"]).otherwise(F.substr(chunk["chunk"], F.lit(overlap + 1)))
+
+    def continues(chunk, i):
+        last = F.col("chunks")[F.greatest(i - 1, F.lit(0))]["chunk"]
+        return (i == 0) | (F.left(chunk["chunk"], F.lit(overlap)) == F.right(last, F.lit(overlap)))
+
+    return listed.select(
+        "doc_id",
+        F.md5(F.array_join(F.transform("chunks", own), "")).alias("text_md5"),
+        F.forall("chunks", lambda c: F.char_length(c["chunk"]) <= size).alias("bounded"),
+        F.forall(F.transform("chunks", continues), lambda same: same).alias("overlapping"),
+    )
 
 
 TOKENS_SQL = (

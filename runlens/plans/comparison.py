@@ -56,7 +56,7 @@ class Analysis:
     slices: DataFrame
     error_changes: DataFrame
     changed_rows: DataFrame
-    topics: dict[str, TopicResult | None]
+    topics: dict[str, TopicResult]
 
 
 def analyse_runs(
@@ -67,8 +67,13 @@ def analyse_runs(
     topics: bool = False,
     k: int = 5,
     max_iter: int = 100,
+    **topic_settings,
 ) -> Analysis:
-    """Everything that is reported about two prediction columns of one table."""
+    """Everything that is reported about two prediction columns of one table.
+
+    ``topic_settings`` are further arguments of ``fp_topics``: seed, min_df, max_df,
+    stop_words, max_vocabulary.
+    """
     columns = {name.replace("_Binary", ""): name for name in (base, new)}
     first, second = columns
     # one row per model, written so that its three uses share one scan
@@ -81,7 +86,7 @@ def analyse_runs(
         error_changes=compare_model_errors(side_by_side, truth, base, new),
         changed_rows=error_change_rows(side_by_side, truth, base, new),
         topics={
-            model: fp_topics(side_by_side, truth, column, k, max_iter=max_iter)
+            model: fp_topics(side_by_side, truth, column, k, max_iter=max_iter, **topic_settings)
             for model, column in columns.items()
             if topics
         },

@@ -14,8 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document; truth and quality are null where it has no label."""
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return documents.join(labels, "doc_id").select(
+    return documents.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("post_id"),
         F.col("source").alias("username"),
         F.col("lang").alias("keyword"),
@@ -29,7 +30,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 POSTS_SQL = """posts AS (
   SELECT d.doc_id AS post_id, d.source AS username, d.lang AS keyword, d.text AS text,
          CAST(length(d.text) AS INTEGER) AS text_length, l.toxic AS truth, l.quality AS quality
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
 def answers_a(posts: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from runlens.operators.scoring import score_rule
 from runlens.plans.comparison import analyse_runs, merge_runs
 from runlens.plans.context_index import build_index
+from runlens.sources.index import read_index
 from runlens.plans.inference import score_with_context
 from runlens.sources import tables
 from runlens.sources.outputs import write_error_examples
@@ -49,7 +50,7 @@ def test_merge_and_analyse(spark, tmp_path):
     assert report.changed_rows.count() == 20
     assert report.slices.filter("slice = 'keyword'").count() == 6
     assert {r["metric"]: r["improvement"] for r in report.improvement.collect()}["precision"] == 1.0
-    assert report.topics["D_8B"] is None
+    assert report.topics["D_8B"].counts.count() == 0
     assert sum(r["count"] for r in report.topics["D_7B"].counts.collect()) == 20
     write_error_examples(side, str(tmp_path / "ex"), "truth", "D_Binary_7B", "D_Binary_8B")
     assert [f for f in os.listdir(tmp_path / "ex") if f.startswith("change")] == ["change_class=fp_fixed"]
@@ -57,22 +58,30 @@ def test_merge_and_analyse(spark, tmp_path):
 
 def test_context_flow(spark, tmp_path):
     table = posts(spark)
-    definitions = spark.createDataFrame([("D", "plain {text}")], "definition string, template string")
-    index, embedder = build_index(table, str(tmp_path / "index"), n_cells=4)
-    assert index.count() == 40 and index.select("vec_id").distinct().count() == 40
-    row = index.filter("post_id = 3").collect()[0]
-    assert row["chunk"].endswith("- http://a.b/3") and row["metadata"]["keyword"] == "k0"
-    assert [d for d in os.listdir(tmp_path / "index") if d.startswith("cell=")]
+    definitions = spark.createDataFrame(
+        [("D", "plain {text}", "Read: {text} by {definition_text}")], "definition string, template string, context_template string"
+    )
+    build_index(table, str(tmp_path / "index"), n_cells=4)
+    index = read_index(spark, str(tmp_path / "index"))
+    chunks = index.chunks
+    assert chunks.count() == 40 and chunks.select("vec_id").distinct().count() == 40
+    assert len(index.cells.centres) == 4
+    row = chunks.filter("post_id = 3").collect()[0]
+    assert row["chunk"].endswith("- http://a.b/3\n") and row["metadata"]["keyword"] == "k0"
+    assert [d for d in os.listdir(tmp_path / "index" / "chunks") if d.startswith("cell=")]
 
     # the answer tells whether the nearest context, that of the post itself, came first
     answer = F.when(
         F.contains(F.substring("prompt", 1, 40), F.regexp_extract("text", "^[a-z]+ [a-z]+", 0)), "DECISION: yes"
     ).otherwise("Decision: no")
-    seen = score_with_context(table, definitions, index, embedder, lambda t: score_rule(t, answer))
+    seen = score_with_context(table, definitions, index, lambda t: score_rule(t, answer))
     assert {(r["D_Decision"], r["D_Binary"]) for r in seen.wide.collect()} == {("Yes", 1)}
     assert set(seen.results.select("mode").distinct().toPandas()["mode"]) == {"context"}
 
-    plain = score_with_context(table, definitions, None, None, lambda t: score_rule(t, F.col("prompt")))
+    exact = score_with_context(table, definitions, index, lambda t: score_rule(t, answer), n_probe=None)
+    assert {r["D_Decision"] for r in exact.wide.collect()} == {"Yes"}
+
+    plain = score_with_context(table, definitions, None, lambda t: score_rule(t, F.col("prompt")))
     assert plain.wide.count() == 40
     assert plain.results.filter("explanation not like 'plain %'").count() == 0
 

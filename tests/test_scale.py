@@ -73,8 +73,17 @@ def test_hot_post_is_split_in_skip_scored_and_fallback(spark, small_skew_limits)
     assert "skew=true" in final_plan(left)
     found = spark.range(3000).select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.lit(1).alias("rank"))
     chunks = spark.range(3000).select(F.col("id").alias("vec_id"), F.lit("chunk").alias("chunk"))
-    tasks = rows.withColumnsRenamed({"text": "prompt"}).withColumn("context_prompt", F.lit("c"))
-    assert "skew=true" in final_plan(scoring.with_fallback(tasks, attach_context(found, chunks)))
+    assert "skew=true" in final_plan(scoring.with_fallback(rows, attach_context(found, chunks)))
+
+
+def test_pivot_groups_numbers_not_texts(spark):
+    parsed = spark.range(5).select(
+        F.col("id").alias("_row"), F.col("id").alias("post_id"), F.lit("long text").alias("text"),
+        F.lit("D").alias("definition"), F.lit("Yes").alias("decision"), F.lit("e").alias("explanation"),
+    )
+    plan = scoring.pivot_results(parsed, ["post_id", "text"], ["D"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert not any("text" in line for line in plan.splitlines() if "HashAggregate(keys" in line and "_digest" not in line)
 
 
 def test_slices_shuffle_counts_not_rows(spark):

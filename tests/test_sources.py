@@ -2,9 +2,11 @@
 
 import csv
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from runlens.operators.retrieval import Cells
 from runlens.sources import batches, index, storage, tables
 
 
@@ -132,9 +134,12 @@ def test_partials_match_whole_model_names(spark, tmp_path):
 def test_index_missing_then_replaced(spark, tmp_path):
     path = str(tmp_path / "index")
     assert index.read_index(spark, path) is None
-    index.write_index(spark.range(3).withColumn("cell", F.lit(1)), path, by_cell=True)
-    index.write_index(spark.range(2).withColumn("cell", F.lit(2)), path, by_cell=True)
-    assert index.read_index(spark, path).count() == 2
+    cells = Cells(np.array([[0.0, 1.0], [2.0, 3.0], [4.0, 5.0]]))
+    index.write_index(spark.range(3).withColumn("cell", F.lit(1)), path, cells=cells)
+    index.write_index(spark.range(2).withColumn("cell", F.lit(2)), path, cells=cells)
+    found = index.read_index(spark, path)
+    assert found.chunks.count() == 2 and found.embedder is None
+    assert found.cells.centres.tolist() == cells.centres.tolist()
 
 
 def test_bounded_rows(spark):

@@ -99,7 +99,8 @@ def test_prompt_keeps_braces_of_the_post(spark):
     tasks = prompts.render_prompts(prompts.build_tasks(posts, definitions))
     got = [r["prompt"] for r in tasks.orderBy(F.col("post_id").desc()).collect()]
     assert got == ["Q: say {text} and {definition} $1 \\1!", "Q: !"]
-    shown = [r["context_prompt"] for r in prompts.render_context_prompt(tasks).collect()]
+    template = F.lit("Post ID: {post_id}, {definition_text}: {text}")
+    shown = [r["context_prompt"] for r in prompts.render_context_prompt(tasks, template).collect()]
     assert any("say {text} and {definition}" in p for p in shown)
     assert any("Post ID: Unknown" in p for p in shown)
 
@@ -146,21 +147,42 @@ def test_fixed_chunks(spark, length, chunks):
     assert "".join(c if i == 0 else c[200:] for i, c in enumerate(got)) == text
 
 
-@given(st.text(alphabet="ab \n", max_size=300), st.integers(5, 40), st.integers(0, 4))
-@settings(max_examples=200, deadline=None)
-def test_separator_chunks(text, size, overlap):
-    chunks = context.split_at_separators(text, size, overlap)
-    assert all(0 < len(c) <= size for c in chunks)
-    assert all(c in text for c in chunks)
-    # nothing but whitespace is lost
-    assert set(text.split()) <= set("".join(chunks).split()) | set(text.split())
-    assert sum(c.count("a") for c in chunks) >= text.count("a")
+@given(st.lists(st.text(alphabet="ab \n👩", max_size=300), max_size=6), st.integers(8, 40), st.integers(0, 2))
+@settings(max_examples=15, deadline=None)
+def test_separator_chunks(spark, texts, size, overlap):
+    docs = spark.createDataFrame(list(enumerate(texts)), "post_id int, document string")
+    found = {}
+    for r in context.chunk_documents(docs, size=size, overlap=overlap, separator_aware=True).orderBy("chunk_no").collect():
+        found.setdefault(r["post_id"], []).append(r["chunk"])
+    for i, text in enumerate(texts):
+        chunks = found.get(i, [])
+        assert all(0 < len(c) <= size for c in chunks)
+        assert "".join(c if n == 0 else c[overlap:] for n, c in enumerate(chunks)) == text
+        assert all(b[:overlap] == a[len(a) - overlap :] for a, b in zip(chunks, chunks[1:]))
 
 
-def test_separator_chunks_prefer_paragraphs():
-    text = "aaaa bbbb\n\ncccc dddd\n\neeee"
-    assert context.split_at_separators(text, 12, 0) == ["aaaa bbbb", "cccc dddd", "eeee"]
-    assert context.split_at_separators("abcdefghij", 4, 2) == ["abcd", "cdef", "efgh", "ghij"]
+def test_separator_chunks_prefer_line_ends(spark):
+    docs = spark.createDataFrame([(1, "aaaa bbbb\ncc dd ee ffff gggg"), (2, "abcdefghijkl"), (3, None)], "post_id int, document string")
+    chunks = context.chunk_documents(docs, size=12, overlap=0, separator_aware=True)
+    got = [(r["post_id"], r["chunk"]) for r in chunks.orderBy("post_id", "chunk_no").collect()]
+    assert got == [(1, "aaaa bbbb\n"), (1, "cc dd ee "), (1, "ffff gggg"), (2, "abcdefghijkl")]
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_more_definitions_than_a_group(spark):
+    posts = spark.range(3).select(F.col("id").alias("post_id"), F.lit("t").alias("text"))
+    many = spark.range(300).select(F.format_string("D%03d", "id").alias("definition"), F.lit("{text}").alias("template"))
+    tasks = prompts.build_tasks(posts, many)
+    assert tasks.count() == 900 and tasks.select("definition").distinct().count() == 300
+    assert "Join" not in tasks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_full_threads(spark):
+    df = spark.createDataFrame([(1, t, f"a{t}") for t in range(60)] + [(None, 1, "x")], "conv_id int, turn int, text string")
+    got = {(r["conv_id"], r["turn"]): r for r in context.conversation_context(df, depth=None).collect()}
+    assert got[1, 50]["thread"] == [f"a{t}" for t in range(50)] and len(got[1, 50]["replies"]) == 9
+    assert got[None, 1]["thread"] == []
 
 
 def test_conversation_blocks_do_not_show(spark):
@@ -175,6 +197,8 @@ def test_conversation_blocks_do_not_show(spark):
         assert r["thread"] == mine[max(0, at - 4) : at]
         assert r["replies"] == mine[at + 1 : at + 5]
         assert r["parent"] == (mine[at - 1] if at else None)
+        assert r["thread_left_out"] == max(0, at - 4)
+        assert r["replies_left_out"] == max(0, len(mine) - at - 5)
 
 
 def test_stop_words_are_ours_to_choose(spark):
