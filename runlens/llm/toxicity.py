@@ -141,15 +141,35 @@ def _lexicon(rows: DataFrame, most: int) -> dict[str, float]:
     # with n candidates, chance alone reaches about 2 ln n
     least = 2 * math.log(max(2, counts.count()))
     found = scored.filter((F.col("g") > least) & (F.col("odds") > 2)).orderBy(F.col("g").desc(), "entry").limit(most)
-    lexicon: dict[str, float] = {}
-    for r in sorted(found.collect(), key=lambda r: (len(r["entry"]), r["entry"])):
-        shorter = (lexicon.get(r["entry"][: n + 1]) for n in _PREFIXES if n + 1 < len(r["entry"]))
-        if not any(w is not None and w >= r["odds"] - 1 for w in shorter):
-            lexicon[r["entry"]] = float(r["odds"])
+    lexicon = _without_nested({r["entry"]: (r["odds"], r["toxic"]) for r in found.collect()})
     counts.unpersist()
     return lexicon
 
 
+def _beginnings(entry: str) -> list[str]:
+    return [entry[: n + 1] for n in _PREFIXES if n + 1 < len(entry)]
+
+
+def _without_nested(found: dict[str, tuple[float, int]]) -> dict[str, float]:
+    """Entries by weight, each family of words once.
+
+    A beginning that one longer entry accounts for is replaced by it; of what is
+    left, an entry goes when a beginning of it weighs about as much.
+    """
+    replaced = {
+        b
+        for entry, (_, toxic) in found.items()
+        for b in _beginnings(entry)
+        if b in found and toxic >= 0.9 * found[b][1]
+    }
+    kept: dict[str, float] = {}
+    for entry in sorted(found.keys() - replaced, key=lambda e: (len(e), e)):
+        odds = found[entry][0]
+        if not any(kept.get(b, -math.inf) >= odds - 1 for b in _beginnings(entry)):
+            kept[entry] = float(odds)
+    return kept
+
+
 def _logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Newton steps for a ridge logistic model with intercept."""
     x = np.column_stack([np.ones(len(features)), features])

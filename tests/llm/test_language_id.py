@@ -1,0 +1,58 @@
+import random
+
+from pyspark.sql import functions as F
+
+from runlens.llm.language_id import Scorer, fit_languages, identify_languages, keep_identified
+
+WORDS = {
+    "en": "the and house water which through there light would other morning people great thought".split(),
+    "de": "der und haus wasser welche durch dort licht würde andere morgen leute große gedanke".split(),
+    "fr": "le et maison eau laquelle travers là lumière serait autre matin gens grande pensée".split(),
+}
+
+
+def corpus(seed=1, n=120):
+    rng = random.Random(seed)
+    languages = [rng.choice(sorted(WORDS)) for _ in range(n)]
+    return [(i, " ".join(rng.choices(WORDS[x], k=rng.randint(3, 30))), x) for i, x in enumerate(languages)]
+
+
+def test_held_out_accuracy(spark, documents, with_clashes):
+    model = fit_languages(with_clashes(documents(corpus())))
+    fresh = corpus(seed=2)
+    found = {r.doc_id: r for r in identify_languages(with_clashes(documents(fresh)), model).collect()}
+    assert sum(found[i].lang_pred == x for i, _, x in fresh) >= 0.99 * len(fresh)
+    assert all(0 <= r.score <= 1 for r in found.values())
+
+
+def test_unseen_words_back_off(spark, documents):
+    scorer = Scorer(fit_languages(documents(corpus())))
+    assert scorer.predict("thoughtful waterlight")[0] == "en"
+    assert scorer.predict("gedanken lichtwasser")[0] == "de"
+    exact, shorter = scorer.grams("thoughts"), scorer.grams("xqthx")
+    longest = {i: g for g, i in scorer.model.grams.items()}
+    assert {len(longest[r]) for r in exact} == {4} and {len(longest[r]) for r in shorter} < {1, 2, 3}
+
+
+def test_defined_cases(spark, documents):
+    model = fit_languages(documents(corpus()))
+    rows = [(1, None), (2, ""), (3, "12 34 !?"), (4, "the " * 100_000), (5, "the house"), (5, "the house"), (6, "漢字")]
+    found = sorted((r.doc_id, r.lang_pred, r.score > 0) for r in identify_languages(documents(rows), model).collect())
+    assert found[:3] == [(1, "und", False), (2, "und", False), (3, "und", False)]
+    assert found[3:6] == [(4, "en", True), (5, "en", True), (5, "en", True)]
+    assert found[6][1] in WORDS
+    docs = documents(rows)
+    kept = keep_identified(docs, model)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4, 5, 5, 6]
+    assert identify_languages(documents([]), model).collect() == []
+
+
+def test_no_labelled_rows(spark, documents):
+    docs = documents(corpus())
+    model = fit_languages(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.lang_pred for r in identify_languages(docs, model).collect()} == {"und"}
+
+
+def test_sample_is_bounded(spark, documents):
+    model = fit_languages(documents(corpus(n=400)), sample=60, max_words=10, max_grams=20)
+    assert len(model.words) == 10 and len(model.grams) == 20
