@@ -31,15 +31,27 @@ CELLS_SQL = """CAST(count(*) AS BIGINT) AS n,
        CAST(count(*) FILTER (truth = 0 AND pred = 1) AS BIGINT) AS false_positive_count,
        CAST(count(*) FILTER (truth = 1 AND pred = 0) AS BIGINT) AS false_negative_count"""
 
-RATES_SQL = round_sql(
+SLICE_RATE_SQL = dict(
     false_positive_rate="false_positive_count / nullif(CAST(negative_count AS DOUBLE), 0)",
     false_negative_rate="false_negative_count / nullif(CAST(positive_count AS DOUBLE), 0)",
     error_rate="(false_positive_count + false_negative_count) / nullif(CAST(n AS DOUBLE), 0)",
 )
+RATES_SQL = round_sql(**SLICE_RATE_SQL)
+SLICE_RATES_SQL = round_sql(**SLICE_RATE_SQL, digits=8)
 
 SLICE_COUNTS = ["n", "negative_count", "positive_count", "false_positive_count", "false_negative_count"]
 SLICE_RATES = ["false_positive_rate", "false_negative_rate", "error_rate"]
 
+SLICE_METRICS = ["precision", "recall", "f1", "f05", "mcc"]
+SLICE_METRICS_SQL = round_sql(
+    precision="tp / nullif(tp + fp, 0)",
+    recall="tp / nullif(tp + fn, 0)",
+    f1="2 * tp / nullif(2 * tp + fn + fp, 0)",
+    f05="1.25::DOUBLE * tp / nullif(1.25::DOUBLE * tp + 0.25::DOUBLE * fn + fp, 0)",
+    mcc="(tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0)",
+    digits=8,
+)
+
 METRICS_SQL = (
     """cells AS (
   SELECT model, CAST(count(*) FILTER (truth = 1 AND pred = 1) AS DOUBLE) AS tp,
@@ -356,15 +368,17 @@ def _(spark, d):
     + f"""SELECT model, CASE WHEN no_bin = 0 THEN 'length' WHEN no_keyword = 0 THEN 'keyword' ELSE 'all' END AS slice,
        CASE WHEN no_bin = 0 THEN {"CASE bin_ord " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(shape.LENGTH_LABELS)) + " END"}
             ELSE keyword END AS slice_value,
-       bin_ord, {', '.join(SLICE_COUNTS)}, {RATES_SQL}
-FROM slices WHERE (no_bin = 1 AND no_keyword = 1) OR (no_bin = 0 AND bin_ord IS NOT NULL)
+       bin_ord, {', '.join(SLICE_COUNTS)}, {SLICE_RATES_SQL}, {SLICE_METRICS_SQL}
+FROM (SELECT *, CAST(positive_count - false_negative_count AS DOUBLE) AS tp, CAST(false_positive_count AS DOUBLE) AS fp,
+             CAST(negative_count - false_positive_count AS DOUBLE) AS tn, CAST(false_negative_count AS DOUBLE) AS fn FROM slices)
+WHERE (no_bin = 1 AND no_keyword = 1) OR (no_bin = 0 AND bin_ord IS NOT NULL)
    OR (no_keyword = 0 AND keyword IS NOT NULL AND n >= 5)""",
 )
 def all_slices(spark, d):
     branded = fx.with_brand(fx.classified(spark, d), spark, d)
     slices = errors.error_rates_all_slices(branded, "truth", MODELS)
     return slices.select(
-        "model", "slice", "slice_value", "bin_ord", *SLICE_COUNTS, *rounded(*SLICE_RATES)
+        "model", "slice", "slice_value", "bin_ord", *SLICE_COUNTS, *rounded(*SLICE_RATES, *SLICE_METRICS, digits=8)
     )
 
 
@@ -377,14 +391,27 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY
 )
 
 
+def top_of(rate: str, columns: str) -> str:
+    sql = TOP_SQL.format(by=rate, n=15)
+    return f"SELECT * FROM ({sql} SELECT '{rate}' AS by, {columns} FROM top)"
+
+
+def tops(spark, d, shown):
+    found = [
+        shown(errors.top_keywords(brand_slices(spark, d), rate), rate).withColumn("by", F.lit(rate))
+        for rate in SLICE_RATES
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query(
     "ws01_top_keywords",
-    TOP_SQL.format(by="false_positive_rate", n=15)
-    + "SELECT model, keyword, false_positive_rate, rank FROM top",
+    "\nUNION ALL ".join(top_of(rate, f"model, keyword, {rate} AS rate, rank") for rate in SLICE_RATES),
 )
 def _(spark, d):
-    top = errors.top_keywords(brand_slices(spark, d), "false_positive_rate")
-    return top.select("model", "keyword", *rounded("false_positive_rate"), "rank")
+    return tops(
+        spark, d, lambda top, rate: top.select("model", "keyword", F.round(rate, 10).alias("rate"), "rank")
+    )
 
 
 @query(
@@ -434,15 +461,23 @@ def _(spark, d):
     )
 
 
+LABELS_SQL = {
+    "false_positive_rate": "concat(false_positive_count, '/', negative_count)",
+    "false_negative_rate": "concat(false_negative_count, '/', positive_count)",
+    "error_rate": "concat(false_positive_count, 'FP + ', false_negative_count, 'FN/', n)",
+}
+
+
 @query(
     "cd03_keyword_labels",
-    TOP_SQL.format(by="error_rate", n=15)
-    + """SELECT model, keyword, error_rate AS rate,
-       concat(false_positive_count, 'FP + ', false_negative_count, 'FN/', n) AS label FROM top""",
+    "\nUNION ALL ".join(top_of(rate, f"model, keyword, {rate} AS rate, {LABELS_SQL[rate]} AS label") for rate in SLICE_RATES),
 )
 def _(spark, d):
-    top = errors.top_keywords(brand_slices(spark, d), "error_rate")
-    return charts.keyword_labels(top).select("model", "keyword", *rounded("rate"), "label")
+    return tops(
+        spark,
+        d,
+        lambda top, rate: charts.keyword_labels(top, rate).select("model", "keyword", *rounded("rate"), "label"),
+    )
 
 
 @query(

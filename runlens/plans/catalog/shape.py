@@ -58,7 +58,7 @@ def _(spark, d):
     "pf04_to_binary",
     A_SQL
     + """SELECT a.post_id, a.decision, CAST(a.decision = 'Yes' AS INTEGER) AS decision_Binary,
-       CAST(p.truth = 1 AS INTEGER) AS truth_Binary
+       CAST(coalesce(p.truth = 1, false) AS INTEGER) AS truth_Binary
 FROM parsed_answers_a a JOIN posts p ON a.post_id = p.post_id""",
 )
 def _(spark, d):

@@ -7,7 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import SparkSession
 
 # Adaptive execution sizes partitions and splits skewed join partitions at run
-# time, so shuffle.partitions is an upper bound here and not a tuning knob.
+# time; exchanges start with as many partitions as ``input_bytes`` asks for.
+PARTITION_BYTES = 128 << 20
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -23,10 +24,23 @@ def build_session(
     app_name: str = "runlens",
     master: str | None = None,
     extra: Mapping[str, str] | None = None,
+    input_bytes: int | None = None,
 ) -> SparkSession:
+    """A session with the settings above, overridden by ``extra``.
+
+    ``input_bytes`` is the size of the input: range and hash exchanges start with a
+    partition per 128 MB of it, 200 at least, and adaptive execution merges small ones.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**RECOMMENDED, **(extra or {})}.items():
+    sized = {}
+    if input_bytes is not None:
+        partitions = str(max(200, -(-input_bytes // PARTITION_BYTES)))
+        sized = {
+            "spark.sql.shuffle.partitions": partitions,
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum": partitions,
+        }
+    for key, value in {**RECOMMENDED, **sized, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -28,6 +28,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/runlens/{label}-{uuid.uuid4().hex}"
 
 
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete what finished runs left under the shared folder.
+
+    Call it when no result that was handed out will be read any more.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/runlens")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once and continue from the written table.
 

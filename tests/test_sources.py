@@ -1,6 +1,7 @@
 """Files: quoting, batch order, partial results, overwriting, index."""
 
 import csv
+import os
 
 import numpy as np
 import pytest
@@ -153,3 +154,10 @@ def test_scratch_is_under_the_shared_folder(spark):
     folder = storage.shared_folder(spark)
     assert configured is None or folder == configured.rstrip("/")
     assert storage.scratch_path(spark, "x").startswith(folder)
+
+
+def test_clean_scratch(spark):
+    kept = storage.materialize(spark.range(3), "x")
+    assert kept.count() == 3
+    storage.clean_scratch(spark)
+    assert not os.path.exists(f"{storage.shared_folder(spark)}/runlens".removeprefix("file:"))
