@@ -65,12 +65,19 @@ class FMIndex:
         self.tree = WaveletMatrix(codes[self.suffixes - 1], alphabet)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=alphabet))])
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of the suffix array that begin with each row of ``patterns``, by backward search."""
+    def search(self, patterns: np.ndarray, until_one: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of the suffix array that begin with each row of ``patterns``, by backward search.
+
+        ``until_one`` ends a row's search when one place is left; its range is then
+        that of the end of the pattern, which stands nowhere else.
+        """
         last = patterns[:, -1]
         low, high = self.first[last], self.first[last + 1]
+        rows = np.arange(len(patterns))
         for k in range(patterns.shape[1] - 2, -1, -1):
-            symbols = patterns[:, k]
-            low = self.first[symbols] + self.tree.rank(symbols, low)
-            high = self.first[symbols] + self.tree.rank(symbols, high)
+            if until_one:
+                rows = rows[high[rows] - low[rows] > 1]
+            symbols = patterns[rows, k]
+            low[rows] = self.first[symbols] + self.tree.rank(symbols, low[rows])
+            high[rows] = self.first[symbols] + self.tree.rank(symbols, high[rows])
         return low, high

@@ -174,7 +174,8 @@ def repeated_windows(runs: list[str], docs: np.ndarray, size: int) -> list[np.nd
     found = np.empty(len(firsts), np.int64)
     for at in range(0, len(firsts), 1 << 16):
         begin = starts[firsts[at : at + (1 << 16)]]
-        low, high = index.search(codes[begin[:, None] + np.arange(size)])
+        # a window whose end stands in one place only is its own single occurrence
+        low, high = index.search(codes[begin[:, None] + np.arange(size)], until_one=True)
         found[at : at + len(low)] = np.minimum.reduceat(smallest, np.column_stack([low, high]).ravel())[::2]
     counts = lengths - size + 1
     repeated = found[same] < np.repeat(docs, counts)
