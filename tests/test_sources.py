@@ -161,3 +161,11 @@ def test_clean_scratch(spark):
     assert kept.count() == 3
     storage.clean_scratch(spark)
     assert not os.path.exists(f"{storage.shared_folder(spark)}/runlens".removeprefix("file:"))
+
+
+def test_any_number_of_layouts(spark, tmp_path):
+    for i in range(70):
+        (tmp_path / f"batch_{i + 1}.csv").write_text(f"ID,Text,extra{i}\n{i},text {i},{i * 10}\n")
+    got = batches.read_batches(spark, str(tmp_path))
+    assert got.count() == 70
+    assert [r["batch_id"] for r in got.filter("extra69 IS NOT NULL").collect()] == [70]
