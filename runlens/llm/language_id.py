@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,14 +171,19 @@ class Scorer:
         return model.languages[best], float(odds[best] / odds.sum())
 
 
+def _shipped(docs: DataFrame, model: LanguageModel) -> Broadcast:
+    """The model's plain values, which executors can read without this package."""
+    return docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))
+
+
 def identify_languages(
     docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, lang_pred, score`` of every row; only the text is looked at."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = _shipped(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shipped.value)
+        scorer = Scorer(LanguageModel(*shipped.value))
         for batch in batches:
             found = [scorer.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -191,11 +197,11 @@ def identify_languages(
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
     """``docs`` without rows of no language or a score below ``min_score``; all columns stay."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = _shipped(docs, model)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shipped.value)
+        scorer = Scorer(LanguageModel(*shipped.value))
         for batch in batches:
             found = [scorer.predict(t) for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array([lang != "und" and s >= min_score for lang, s in found], pa.bool_()))

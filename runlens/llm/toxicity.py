@@ -230,10 +230,11 @@ def fit_toxicity(
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` of every row; only the text is looked at."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values, which executors can read without this package
+    shipped = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
+        model = ToxicityModel(*shipped.value)
         matcher = Matcher(model.lexicon, model.exceptions)
         bias, damped, dense = model.weights
         for batch in batches:
