@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.tokens import PieceCache, read_bytes, read_ranks
+from runlens.llm.tokens import PieceCache, in_slices, read_bytes, read_ranks
 
 Ids = tuple[int, ...]
 
@@ -125,7 +125,7 @@ def encode_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = TreeCodec(read_ranks(shipped.value), pattern)
         cache = PieceCache(codec.encode)
-        for batch in batches:
+        for batch in in_slices(batches):
             encoded = [cache.text_ids(t) for t in batch.column(1).to_pylist()]
             offsets = array("i", [0])
             for ids in encoded:

@@ -26,6 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlens.llm.tokens import in_slices
 from runlens.sources.storage import bounded_rows
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -124,7 +125,7 @@ def fit_languages(
 
 
 class Scorer:
-    def __init__(self, model: LanguageModel, memo: int = 300_000):
+    def __init__(self, model: LanguageModel, memo: int = 100_000):
         self.model, self.memo = model, memo
         self.unseen: dict[str, tuple[int, ...]] = {}
 
@@ -184,7 +185,7 @@ def identify_languages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(LanguageModel(*shipped.value))
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [scorer.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
@@ -202,7 +203,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = 0.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(LanguageModel(*shipped.value))
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [scorer.predict(t) for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array([lang != "und" and s >= min_score for lang, s in found], pa.bool_()))
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.tokens import PieceCache, read_bytes, read_vocabulary
+from runlens.llm.tokens import PieceCache, in_slices, read_bytes, read_vocabulary
 
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -185,7 +185,7 @@ def pack_documents(
                 yield pa.RecordBatch.from_arrays(columns, names=names)
             rows.clear()
 
-        for batch in batches:
+        for batch in in_slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = cache.text_ids(text) + end
                 tokens = len(ids) // 4

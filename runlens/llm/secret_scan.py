@@ -3,8 +3,8 @@
 For each rule a query of mandatory trigrams is derived from the parsed pattern. An
 index of those trigrams is built per block of rows; postings are intersected and
 united as the query says, and only the rows that remain are searched with the
-pattern. A rule without mandatory trigrams searches every row. Blocks are the
-batches Spark reads, so nothing is shuffled and memory is bounded by a batch.
+pattern. A rule without mandatory trigrams searches every row. Blocks are
+slices of the batches Spark reads, so nothing is shuffled and memory is bounded.
 
 Defined cases: a null text counts as empty and has no spans; rows that repeat are
 scanned each; long texts are searched whole; an empty table gives an empty table;
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlens.llm.tokens import in_slices
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -201,7 +203,7 @@ def find_secrets(
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             spans = scan_block(batch.column(1).to_pylist(), rules)
             rows = [[{"kind": k, "start": s, "end": e} for k, s, e in own] for own in spans]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
@@ -229,7 +231,7 @@ def redact_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str
     n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column(place).to_pylist()
             spans = scan_block([t or "" for t in texts], rules)
             clean = [redact(t, s) if s else t for t, s in zip(texts, spans)]

@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 # A space before a character that is no white space always starts a new match of the
 # pre-tokenizer's pattern, so texts may be cut there and the pieces encoded apart.
@@ -13,6 +15,13 @@ _UNSAFE_SPACE = re.compile(r" (?:\s|$)")
 _SAFE_SPACE = re.compile(r" (?=\S)")
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def pieces(text: str) -> list[str]:
     """``text`` cut at safe spaces; every piece but the first has lost its space."""
     if _UNSAFE_SPACE.search(text):
@@ -23,7 +32,7 @@ def pieces(text: str) -> list[str]:
 class PieceCache(dict):
     """Little-endian unsigned 32-bit ids by piece (with its space); bounded, per task."""
 
-    def __init__(self, encode: Callable[[str], bytes], entries: int = 400_000, chars: int = 64):
+    def __init__(self, encode: Callable[[str], bytes], entries: int = 200_000, chars: int = 64):
         super().__init__()
         self.encode, self.entries, self.chars = encode, entries, chars
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.language_id import sample_rows
+from runlens.llm.tokens import in_slices
 from runlens.sources.storage import bounded_rows
 
 # Letters that look like Latin ones, and characters written for letters.
@@ -109,7 +110,7 @@ def _lexicon(rows: DataFrame, most: int) -> dict[str, float]:
             )
             seen.clear()
 
-        for batch in batches:
+        for batch in in_slices(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for entry in entries_of(text):
                     seen.setdefault(entry, [0, 0])[toxic] += 1
@@ -208,7 +209,7 @@ def fit_toxicity(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(*matcher_args)
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [matcher.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64())],
@@ -237,7 +238,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
         model = ToxicityModel(*shipped.value)
         matcher = Matcher(model.lexicon, model.exceptions)
         bias, damped, dense = model.weights
-        for batch in batches:
+        for batch in in_slices(batches):
             scores = []
             for text in batch.column(1).to_pylist():
                 a, b = matcher.features(text)
