@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from runlens.sources.storage import materialize
 
-SAMPLES = 40
+SAMPLES = 64
 _NO_ID = (1 << 63) - 1  # stands for a missing id, after all others
 _WORD_GAP = r"[\x20\x09-\x0D]+"
 # A counted word is one number: 38 bits of hash, 22 of its count, 4 of its length.

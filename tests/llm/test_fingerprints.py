@@ -49,6 +49,23 @@ def test_against_exact_similarity(documents, with_clashes):
     assert all(len(s) == 1 for s in same.values())
 
 
+def test_error_of_the_estimates(documents):
+    rng = random.Random(3)
+
+    def fresh():
+        return "".join(rng.choices("abcdefghijklmnop", k=8))
+
+    texts = [" ".join(fresh() for _ in range(90)) for _ in range(400)]
+    ratios = []
+    for r in fingerprint_documents(documents(list(enumerate(texts)))).collect():
+        assert len(r.fingerprint) >= 64 and len(r.edited_fingerprint) >= 64
+        own, following = texts[r.doc_id], texts[r.doc_id - 1]
+        third = len(own) // 3
+        exact = similarity(own, own[: len(own) - third] + following[:third])
+        ratios.append((r.near_edited - exact) ** 2 / (exact * (1 - exact)))
+    assert np.mean(ratios) < 1 / 52  # the mean is one by the number of draws
+
+
 def test_repeated_and_missing_ids(documents):
     rows = [(1, "alpha beta gamma"), (1, "alpha beta gamma"), (2, "delta epsilon"), (None, "zeta eta")]
     found = fingerprint_documents(documents(rows)).collect()
