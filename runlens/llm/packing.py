@@ -11,7 +11,8 @@ The packing is done where the rows are read, so no text or id is shuffled; a tas
 holds one id array per document of its block. Sequence ids are the number of the
 input partition and a running number: a lost task that runs again gives the same.
 
-Defined cases: a null or empty text is its terminator alone; rows that repeat are
+Defined cases: a null or empty text is its terminator alone; the file's added tokens
+are found in a text and get their own ids, as the library does; rows that repeat are
 packed each; a very long text gives full windows as they are cut; an empty table
 gives an empty table; other columns of the input are not read.
 """
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.tokens import PieceCache, in_slices, read_bytes, read_vocabulary
+from runlens.llm.tokens import PieceCache, in_slices, read_added, read_bytes, read_vocabulary, with_added
 
 SCHEMA = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -159,6 +160,7 @@ def pack_documents(
             "vocabulary", pat_str=pattern, mergeable_ranks=read_vocabulary(shipped.value), special_tokens={}
         )
         cache = PieceCache(lambda text: array("I", encoder.encode_ordinary(text)).tobytes())
+        text_ids = with_added(cache.text_ids, read_added(shipped.value))
         next_id = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         tails: list[tuple[int, int, int, bytes]] = []  # id, document's tokens, start, ids
@@ -187,7 +189,7 @@ def pack_documents(
 
         for batch in in_slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = cache.text_ids(text) + end
+                ids = text_ids(text) + end
                 tokens = len(ids) // 4
                 full = tokens - tokens % capacity
                 for start in range(0, full, capacity):

@@ -74,6 +74,30 @@ def read_vocabulary(data: bytes) -> dict[bytes, int]:
     }
 
 
+def read_added(data: bytes) -> dict[str, int]:
+    """Added tokens of a tokenizer file in JSON, which are found in a text before it is cut."""
+    added = json.loads(data).get("added_tokens", ())
+    for token in added:
+        if any(token.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token {token['content']!r} needs more than its plain text")
+    return {t["content"]: t["id"] for t in added}
+
+
+def with_added(text_ids: Callable[[str], bytes], added: dict[str, int]) -> Callable[[str], bytes]:
+    """``text_ids`` for texts that may hold added tokens: what stands between them is encoded apart."""
+    if not added:
+        return text_ids
+    ids = {token: id_.to_bytes(4, "little") for token, id_ in added.items()}
+    longest_first = sorted(map(re.escape, added), key=len, reverse=True)
+    split = re.compile(f"({'|'.join(longest_first)})").split
+
+    def run(text: str) -> bytes:
+        first, *rest = split(text)
+        return text_ids(first) + b"".join([ids[t] + text_ids(x) for t, x in zip(rest[::2], rest[1::2])])
+
+    return run
+
+
 def read_bytes(path: str) -> bytes:
     with open(path, "rb") as file:
         return file.read()

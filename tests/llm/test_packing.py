@@ -69,5 +69,19 @@ def test_table(documents, with_clashes):
         assert at <= 1024 and (at >= 1021 or at & (at - 1) == 0)
 
 
+def test_added_token_in_a_text(documents):
+    end = "<|endoftext|>"
+    texts = [end, f"{end}start", f"stop{end}", f"end of text {end} next", f" {end} ", f"a  {end}  b\n{end}\n", end * 3]
+    texts += [f"<|{end}|>", "<|endoftext|", "<|ENDOFTEXT|>", f"it's {end}'s 12{end}34 é{end}é", f"word {end} " * 900]
+    library = Tokenizer.from_file(VOCABULARY)
+    got = {}
+    for r in pack_documents(documents(list(enumerate(texts))), VOCABULARY, public_tokenizers.PATTERN).collect():
+        got.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    for i, text in enumerate(texts):
+        found = [x for _, part in sorted(got[i]) for x in part]
+        assert found == [*library.encode(text, add_special_tokens=False).ids, 0]
+        assert found.count(50256) == text.count(end)
+
+
 def test_empty(documents):
     assert pack_documents(documents([]), VOCABULARY, public_tokenizers.PATTERN).collect() == []
