@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from runlens.llm.exact_dedup import drop_exact_duplicates
-from runlens.llm.language_id import fit_languages, keep_identified
+from runlens.llm.language_id import MIN_KNOWN, fit_languages, keep_identified
 from runlens.llm.minhash_dedup import drop_near_duplicates
 from runlens.llm.packing import pack_documents
 from runlens.llm.secret_scan import redact_secrets
@@ -23,8 +23,8 @@ from runlens.sources.storage import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the labelled languages."""
-    return keep_identified(docs, fit_languages(docs))
+    """Documents whose text is in one of the labelled languages, by the words and n-grams it holds."""
+    return keep_identified(docs, fit_languages(docs), min_known=MIN_KNOWN)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from runlens.llm.language_id import Scorer, fit_languages, identify_languages, keep_identified
+from runlens.llm.language_id import MIN_KNOWN, Scorer, fit_languages, identify_languages, keep_identified
 
 WORDS = {
     "en": "the and house water which through there light would other morning people great thought".split(),
@@ -47,6 +47,27 @@ def test_defined_cases(spark, documents):
     assert identify_languages(documents([]), model).collect() == []
 
 
+UNLEARNED = ["今天天气很好我们去公园", "сегодня хорошая погода мы идем в парк", "الطقس جميل اليوم ونحن ذاهبون", "漢字"]
+
+
+def test_rows_without_evidence_are_left_out(spark, documents):
+    english = [(i, t, "en") for i, (_, t, x) in enumerate(corpus()) if x == "en"]
+    for labelled in (corpus(), english):  # the prior of a language is a third, or one
+        model = fit_languages(documents(labelled))
+        mixed = ["the house and water " + x for x in UNLEARNED[1:3]]
+        mostly = ["the house and water which through there light would other morning people " + x for x in UNLEARNED[:3]]
+        words = " ".join(w for w in UNLEARNED[1].split() * 3)
+        rows = [*enumerate(UNLEARNED), *enumerate(mixed, 10), *enumerate(mostly, 20), (30, "the house " + words), (40, "the house")]
+        kept = keep_identified(documents(rows), model, min_known=MIN_KNOWN)
+        assert sorted(r.doc_id for r in kept.collect()) == [20, 21, 22, 40]
+
+
+def test_clean_held_out_rows_stay(spark, documents):
+    model = fit_languages(documents(corpus()))
+    fresh = corpus(seed=2)
+    assert keep_identified(documents(fresh), model, min_known=MIN_KNOWN).count() == len(fresh)
+
+
 def test_no_labelled_rows(spark, documents):
     docs = documents(corpus())
     model = fit_languages(docs.withColumn("lang", F.lit(None).cast("string")))

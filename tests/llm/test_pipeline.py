@@ -56,6 +56,14 @@ def test_every_stage(spark, documents):
     }
 
 
+def test_language_stage_leaves_out_unlearned_scripts(spark, documents):
+    other = [(400, "今天天气很好我们去公园", None), (401, "сегодня хорошая погода", None), (402, ENGLISH + "сегодня", None)]
+    docs = table(documents)
+    whole = docs.unionByName(documents(other))
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    assert rows_of(stage(spark, whole, "")) == sorted(rows_of(stage(spark, docs, "")) + [other[2][:2]])
+
+
 def test_run(spark, documents, tmp_path):
     table(documents).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
