@@ -86,6 +86,22 @@ def test_context_flow(spark, tmp_path):
     assert plain.results.filter("explanation not like 'plain %'").count() == 0
 
 
+def test_context_flow_loses_no_neighbour(spark, tmp_path):
+    table = posts(spark, n=120)
+    definitions = spark.createDataFrame(
+        [("D", "plain {text}", "Read: {text} by {definition_text}")], "definition string, template string, context_template string"
+    )
+    index = build_index(table, str(tmp_path / "index"), n_cells=60)
+
+    def prompts(**options):
+        seen = score_with_context(table, definitions, index, lambda t: score_rule(t, F.col("prompt")), **options)
+        return {r["post_id"]: r["explanation"] for r in seen.results.collect()}
+
+    exact = prompts(n_probe=None)
+    assert len(exact) == 120 and prompts() == exact
+    assert prompts(n_probe=8) != exact  # with more cells fixed probes lose neighbours
+
+
 def test_arriving_files_add_up(spark, tmp_path):
     folder, state = str(tmp_path / "in"), str(tmp_path / "state")
     rows = spark.createDataFrame([("D", "Yes"), ("D", "No"), ("E", "Error")], "definition string, decision string")
