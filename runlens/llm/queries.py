@@ -10,7 +10,9 @@ from runlens.llm.bpe import encode_texts
 from runlens.llm.chat_format import END, CONTENT, START, format_chats, loss_text, read_turns, text_part
 from runlens.llm.exact_dedup import exact_duplicates
 from runlens.llm.fingerprints import as_text, fingerprint_documents
+from runlens.llm.hard_negatives import mine_hard_negatives
 from runlens.llm.language_id import fit_languages, identify_languages
+from runlens.llm.merkle import FIELDS, leaf_digest, merkle_manifest
 from runlens.llm.minhash_dedup import near_duplicates
 from runlens.llm.packing import pack_documents
 from runlens.llm.secret_scan import BASE, find_secrets
@@ -190,3 +192,89 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
+# the checksum of the id's digits, bit by bit
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+    lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+_REDUCE = """{name} AS (
+  SELECT tree, 0 AS level, place, n, digest FROM {start}
+  UNION ALL
+  SELECT tree, level + 1, place // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY place))
+  FROM {name} WHERE n > 1 GROUP BY tree, level, place // 8, n)"""
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@_query(
+    f"""WITH RECURSIVE rows AS (
+  SELECT doc_id, lang, {_LEAF.format(_FIELD.format("text"))} AS leaf,
+         CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF.format(_FIELD.format(f"translate(text, '{_UPPER}', '{_LOWER}')"))} END AS claim
+  FROM documents),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n
+  FROM rows),
+leaves AS (SELECT tree, place, n, leaf AS digest FROM placed),
+{_REDUCE.format(name="inner_nodes", start="leaves")},
+subroots AS (SELECT 0 AS tree, tree AS place, count(*) OVER () AS n, digest FROM inner_nodes WHERE n = 1),
+{_REDUCE.format(name="top_nodes", start="subroots")},
+nodes AS (
+  SELECT 0 AS phase, * FROM inner_nodes WHERE n > 1 UNION ALL SELECT 1, * FROM top_nodes WHERE n > 1),
+runs AS (
+  SELECT phase, tree, level, place // 8 AS run, list(digest ORDER BY place) AS digests
+  FROM nodes GROUP BY phase, tree, level, place // 8),
+steps AS (
+  SELECT doc_id, leaf, claim, row_number() OVER (PARTITION BY doc_id, leaf, p.place ORDER BY phase, level) AS step,
+         p.tree AS own_tree, p.place AS own_place, digests,
+         CASE phase WHEN 0 THEN (p.place // CAST(8 ** level AS BIGINT)) % 8 ELSE (p.tree // CAST(8 ** level AS BIGINT)) % 8 END AS spot
+  FROM placed p JOIN runs r ON r.tree = CASE phase WHEN 0 THEN p.tree ELSE 0 END
+   AND run = CASE phase WHEN 0 THEN p.place ELSE p.tree END // CAST(8 ** (level + 1) AS BIGINT)),
+proofs AS (
+  SELECT own_tree, own_place, sha256(string_agg(
+      array_to_string(list_filter(digests, lambda d, i: i <> spot + 1), ''), '' ORDER BY step)) AS proof
+  FROM steps GROUP BY own_tree, own_place),
+fold AS (
+  SELECT tree, place, 0 AS step, coalesce(claim, leaf) AS digest FROM placed
+  UNION ALL
+  SELECT tree, place, s.step, sha256(array_to_string(
+      list_transform(digests, lambda d, i: CASE WHEN i = spot + 1 THEN f.digest ELSE d END), ''))
+  FROM fold f JOIN steps s ON s.own_tree = f.tree AND s.own_place = f.place AND s.step = f.step + 1),
+ends AS (SELECT tree, place, arg_max(digest, step) AS folded_root FROM fold GROUP BY tree, place),
+root AS (SELECT digest AS root FROM top_nodes WHERE n = 1)
+SELECT doc_id, leaf, s.digest AS subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root,
+       folded_root = root AS verified
+FROM placed p JOIN ends e USING (tree, place) JOIN subroots s ON s.place = p.tree CROSS JOIN root
+LEFT JOIN proofs ON own_tree = p.tree AND own_place = p.place"""
+)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = [F.translate("text", _UPPER, _LOWER) if f == "text" else F.col(f) for f in FIELDS]
+    return merkle_manifest(docs, F.when(_remainder(3) == 0, leaf_digest(tampered)))
+
+
+@_query("""
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same,
+         CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM usable a JOIN usable r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+  FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+   AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 5""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"), moved)
