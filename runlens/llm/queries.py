@@ -15,6 +15,7 @@ from runlens.llm.language_id import fit_languages, identify_languages
 from runlens.llm.merkle import FIELDS, leaf_digest, merkle_manifest
 from runlens.llm.minhash_dedup import near_duplicates
 from runlens.llm.packing import pack_documents
+from runlens.llm.pii import KINDS, find_personal_data, fit_field, spelled
 from runlens.llm.secret_scan import BASE, find_secrets
 from runlens.llm.substring_dedup import remove_repeated_windows
 from runlens.llm.toxicity import fit_toxicity, score_toxicity
@@ -194,6 +195,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query()
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = find_personal_data(docs, fit_field(docs))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(counted, KINDS), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans")
+    )
+
+
 _FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {0})"
 # the checksum of the id's digits, bit by bit
