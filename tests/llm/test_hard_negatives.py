@@ -1,0 +1,99 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from runlens.llm import hard_negatives
+from runlens.llm.hard_negatives import mine_hard_negatives, mined, packed, unpacked
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def plain(rows, every=100, k=5, least=80):
+    kept = {}
+    for id_, v, label in rows:
+        if id_ is None or v is None or label is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        kept[id_] = min(kept.get(id_, (label, v)), (label, v))
+    whole = {i: (label, [math.floor(256 * x) for x in v]) for i, (label, v) in kept.items()}
+    found = []
+    for a in whole:
+        if a % every:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(whole[a][1], v)), i, label) for i, (label, v) in whole.items() if i != a)
+        for s, p, label in [x for x in scored if x[2] == whole[a][0]][:k]:
+            inside = [x for x in scored if x[2] != whole[a][0] and least * -s <= 100 * -x[0] <= 100 * -s][:k]
+            found += [(a, p, r + 1, n, -s, -t) for r, (t, n, _) in enumerate(inside)]
+    return sorted(found)
+
+
+def mine(spark, rows, **more):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    return sorted(tuple(r) for r in mine_hard_negatives(df, **more).collect())
+
+
+def cloud(seed, n, dims=6, labels=4):
+    rng = random.Random(seed)
+    # few different values, so that scores tie
+    return [(i, [rng.choice([0.0, 0.25, 0.5, 0.51]) for _ in range(dims)], rng.randrange(labels)) for i in range(n)]
+
+
+@pytest.mark.parametrize("few", [(512, 32), (20, 7)])
+def test_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(hard_negatives, "FEW_ROWS", few[0])
+    monkeypatch.setattr(hard_negatives, "FEW_BLOCKS", few[1])
+    monkeypatch.setattr(hard_negatives, "BLOCK_ANCHORS", few[0])
+    rows = cloud(1, 300)
+    found = mine(spark, rows, every=10)
+    assert found == plain(rows, every=10) and len(found) > 100
+
+
+def test_odd_rows(spark):
+    rows = cloud(2, 60)
+    rows += [(200, None, 1), (201, [1.0, None] * 3, 1), (202, [float("nan")] * 6, 1), (203, [float("inf")] * 6, 1)]
+    rows += [(204, [0.5] * 6, None), (None, [0.5] * 6, 1), (0, [0.1] * 6, 3), (7, rows[7][1], rows[7][2]), (300, [0.5, 0.5], 2), (301, [], 2)]
+    assert mine(spark, rows, every=10) == plain(rows, every=10)
+
+
+def test_negative_scores_and_ties(spark):
+    rows = [(0, [1.0, 0.0], 0), (1, [-1.0, 0.0], 0), (2, [-1.0, 0.0], 1), (3, [0.0, 1.0], 0), (4, [0.0, 2.0], 1)]
+    assert mine(spark, rows) == plain(rows) == [(0, 3, 1, 4, 0, 0)]
+
+
+def test_equal_vectors(spark):
+    rows = [(i, [0.5, 0.5], i % 2) for i in range(50)]
+    assert mine(spark, rows, every=25) == plain(rows, every=25)
+
+
+def test_large_components(spark):
+    rows = [(i, [float(2**20 + i), 1.0], i % 3) for i in range(40)]
+    assert mine(spark, rows, every=20) == plain(rows, every=20)
+
+
+def test_without_rows_or_anchors(spark):
+    assert mine(spark, cloud(3, 20)[1:]) == []
+    assert mine(spark, []) == []
+
+
+def test_label_column_and_clashes(spark, with_clashes):
+    df = with_clashes(spark.createDataFrame(cloud(4, 120), SCHEMA)).withColumns({c: F.lit("x") for c in ("vector", "a", "r", "key", "rank")})
+    found = mine_hard_negatives(df, (F.col("label") + 1) % 4, every=20)
+    moved = [(i, v, (label + 1) % 4) for i, v, label in cloud(4, 120)]
+    assert sorted(tuple(r) for r in found.collect()) == plain(moved, every=20)
+
+
+def test_keys_keep_their_order():
+    rng = random.Random(5)
+    keys = [(rng.randint(-3, 3), rng.choice([-(2**62), -1, 0, 1, 2**62]), rng.random() < 0.5, rng.randint(-4, 4)) for _ in range(500)]
+    made = [packed([a], [s], n, [i])[0] for a, s, n, i in keys]
+    assert [unpacked(k) for k in made] == keys
+    assert [unpacked(k) for k in sorted(made)] == sorted(keys, key=lambda k: (k[0], -k[1], k[2], k[3]))
+
+
+def test_windows_stream():
+    def keys():
+        for kind, score, id_ in [(False, 10, 1), (True, 10, 5), (True, 9, 2), (False, 8, 3), (True, 8, 9), (True, 7, 4), (True, 6, 8)]:
+            yield packed([0], [score], kind, [id_])[0]
+
+    assert list(mined(keys(), 2, 80)) == [(0, 1, 1, 5, 10, 10), (0, 1, 2, 2, 10, 9), (0, 3, 1, 9, 8, 8), (0, 3, 2, 4, 8, 7)]
