@@ -7,9 +7,14 @@ is the encoding of its bytes exactly when each adjacent pair is the encoding of
 own bytes, and then every pair of the joined sequence has been seen inside a left
 part, a right part or a window. Decoding concatenates up a balanced tree.
 
+Windows grow by one token: a table has the encodings of token pairs. A pair that does
+not stand is replaced by its encoding, and the pairs that this makes are looked at in
+turn, until those on both sides stand. Equal parts of a long match are encoded once,
+so a run of one character, whose windows reach its end, stays cheap.
+
 Defined cases: a null or empty text has no ids and decodes to no bytes; rows that
 repeat are encoded each; a very long run without white space is one match and takes
-time in proportion to its length; an empty table gives an empty table; other
+time nearly in proportion to its length; an empty table gives an empty table; other
 columns of the input are not read.
 """
 
@@ -17,91 +22,126 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.tokens import PieceCache, in_slices, read_bytes, read_ranks
+from runlens.llm.tokens import Generations, PieceCache, in_slices, read_bytes, read_ranks
 
 Ids = tuple[int, ...]
+_NEVER = 1 << 40  # rank of a pair that is no token
 
 
 class TreeCodec:
-    """Encoder and decoder of one vocabulary; ``memo`` bounds both caches."""
+    """Encoder and decoder of one vocabulary; ``memo`` bounds the bytes of its tables."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 200_000):
-        self.ranks, self.memo = ranks, memo
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 96 << 20):
+        self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.matches = regex.compile(pattern).findall
-        self.halves: dict[bytes, Ids] = {}
-        self.borders: dict[tuple[int, int], Ids] = {}
-
-    def _by_rank(self, data: bytes) -> Ids:
-        """Merge the adjacent pair of lowest rank until none is left; for windows only."""
-        ranks = self.ranks
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        self.borders = Generations(self._border, memo // 2, 260)  # encoding of two tokens' bytes
+        self.parts = Generations(self._halved, memo // 2)
+
+    def _border(self, pair: tuple[int, int]) -> Ids:
+        return self.by_rank(self.bytes_of[pair[0]] + self.bytes_of[pair[1]])
+
+    # --- windows: merge the adjacent pair of lowest rank until none is left
+
+    def by_rank(self, data: bytes) -> Ids:
+        rank_of = self.ranks.get
+        tokens = [data[i : i + 1] for i in range(len(data))]
+        ranks = [rank_of(data[i : i + 2], _NEVER) for i in range(len(data) - 1)]
+        while ranks:
+            best = min(ranks)
+            if best == _NEVER:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(ranks[p] for p in parts)
-
-    def _border(self, left: int, right: int) -> Ids:
-        key = (left, right)
-        found = self.borders.get(key)
-        if found is None:
-            if len(self.borders) >= self.memo:
-                self.borders.clear()
-            found = self.borders[key] = self._by_rank(self.bytes_of[left] + self.bytes_of[right])
-        return found
+            at = ranks.index(best)
+            tokens[at] += tokens.pop(at + 1)
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank_of(tokens[at - 1] + tokens[at], _NEVER)
+            if at < len(ranks):
+                ranks[at] = rank_of(tokens[at] + tokens[at + 1], _NEVER)
+        return tuple([self.ranks[t] for t in tokens])
+
+    # --- the tree
 
     def join(self, left: Ids, right: Ids) -> Ids:
-        """Encoding of the bytes of two encodings set side by side."""
+        """Encoding of the bytes of two encodings set side by side.
+
+        ``out`` is settled up to its last token; ``window`` holds what follows it, and
+        then the rest of ``right``. Each pair that does not stand is replaced by its encoding.
+        """
         if not left or not right:
             return left or right
-        i = j = 1
-        window = self._border(left[-1], right[0])
-        while True:
-            left_stable = i == len(left) or window[0] == left[-i]
-            right_stable = j == len(right) or window[-1] == right[j - 1]
-            if left_stable and right_stable:
-                return left[: len(left) - i] + window + right[j:]
-            if not left_stable:
-                i = min(2 * i, len(left))
-            if not right_stable:
-                j = min(2 * j, len(right))
-            near = left[len(left) - i :] + right[:j]
-            window = self._by_rank(b"".join([self.bytes_of[t] for t in near]))
+        borders = self.borders
+        pair = left[-1], right[0]
+        found = borders[pair]
+        if found == pair:
+            return left + right
+        out, window, j = list(left[:-1]), list(found[::-1]), 1
+        for _ in range(64 + 8 * (len(left) + len(right))):
+            if window:
+                token = window.pop()
+                if not out:
+                    out.append(token)
+                    continue
+                pair = out[-1], token
+                found = borders[pair]
+                if found == pair:
+                    out.append(token)
+                    continue
+            elif j == len(right):
+                return tuple(out)
+            else:
+                pair = out[-1], right[j]
+                found = borders[pair]
+                if found == pair:
+                    return tuple(out) + right[j:]
+                j += 1
+            out.pop()
+            window += found[::-1]
+        return self.by_rank(b"".join([self.bytes_of[t] for t in left + right]))
+
+    def _halved(self, data: bytes) -> Ids:
+        rank = self.ranks.get(data)
+        if rank is not None:
+            return (rank,)
+        middle = len(data) // 2
+        return self.join(self.parts[data[:middle]], self.parts[data[middle:]])
 
     def encode_match(self, data: bytes) -> Ids:
-        if not data:
-            return ()
         rank = self.ranks.get(data)
         if rank is not None:
             return (rank,)
-        found = self.halves.get(data)
-        if found is None:
+        if len(data) <= 32:
             middle = len(data) // 2
-            found = self.join(self.encode_match(data[:middle]), self.encode_match(data[middle:]))
-            if len(data) <= 16:
-                if len(self.halves) >= self.memo:
-                    self.halves.clear()
-                self.halves[data] = found
-        return found
+            return self.join(self.parts[data[:middle]], self.parts[data[middle:]]) if data else ()
+        own: dict[bytes, Ids] = {}  # long parts of this match, equal ones once
+
+        def halved(part: bytes) -> Ids:
+            if len(part) <= 32:
+                return self.parts[part]
+            found = own.get(part)
+            if found is None:
+                middle = len(part) // 2
+                found = own[part] = self.join(halved(part[:middle]), halved(part[middle:]))
+            return found
+
+        return halved(data)
 
     def encode(self, text: str) -> bytes:
         """Ids of every match, as little-endian unsigned 32-bit numbers."""
-        ids = array("I")
-        for match in self.matches(text):
-            ids.extend(self.encode_match(match.encode("utf-8", "surrogatepass")))
-        return ids.tobytes()
+        encode = self.encode_match
+        found = [encode(match.encode("utf-8", "surrogatepass")) for match in self.matches(text)]
+        return array("I", chain.from_iterable(found)).tobytes()
+
+    def encode_word(self, word: str) -> bytes:
+        """``encode`` for a text that is one match."""
+        return array("I", self.encode_match(word.encode())).tobytes()
 
     def decode(self, ids: Sequence[int]) -> bytes:
         level = [
@@ -124,7 +164,7 @@ def encode_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = TreeCodec(read_ranks(shipped.value), pattern)
-        cache = PieceCache(codec.encode)
+        cache = PieceCache(codec.encode, 96 << 20, encode_word=codec.encode_word)
         for batch in in_slices(batches):
             encoded = [cache.text_ids(t) for t in batch.column(1).to_pylist()]
             offsets = array("i", [0])

@@ -13,6 +13,7 @@ import pyarrow as pa
 # pre-tokenizer's pattern, so texts may be cut there and the pieces encoded apart.
 _UNSAFE_SPACE = re.compile(r" (?:\s|$)")
 _SAFE_SPACE = re.compile(r" (?=\S)")
+_LATIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -29,20 +30,64 @@ def pieces(text: str) -> list[str]:
     return text.split(" ")
 
 
-class PieceCache(dict):
-    """Little-endian unsigned 32-bit ids by piece (with its space); bounded, per task."""
+class Generations(dict):
+    """A bounded memo: what is asked for again outlives the rest.
 
-    def __init__(self, encode: Callable[[str], bytes], entries: int = 200_000, chars: int = 64):
+    Entries are made by ``make`` and kept in a young and an old generation. When the young
+    one holds half of ``most`` bytes (as estimated), it becomes the old one.
+    """
+
+    def __init__(self, make: Callable, most: int, overhead: int = 200):
         super().__init__()
-        self.encode, self.entries, self.chars = encode, entries, chars
+        self.make, self.half, self.overhead = make, most // 2, overhead
+        self.old: dict = {}
+        self.held = 0
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self.held += len(key) + len(found) + self.overhead
+        if self.held > self.half:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+        self[key] = found
+        return found
+
+
+class PieceCache(Generations):
+    """Little-endian unsigned 32-bit ids by piece (with its space); bounded, per task.
+
+    A match of letters ends where they end, and what follows is matched on its own. So
+    a word with a comma is put together from both, and only words are encoded anew.
+    """
+
+    def __init__(
+        self,
+        encode: Callable[[str], bytes],
+        most: int = 44 << 20,
+        chars: int = 64,
+        encode_word: Callable[[str], bytes] | None = None,
+    ):
+        super().__init__(self._encoded, most - most // 16)
+        self.encode, self.chars, self.encode_word = encode, chars, encode_word or encode
+        self.tails = Generations(encode, most // 16)
+
+    def _encoded(self, piece: str) -> bytes:
+        letters = _LATIN_WORD.match(piece)
+        if letters is None:
+            return self.encode(" " + piece)
+        end = letters.end()
+        if end == len(piece):
+            return self.encode_word(" " + piece)
+        if not piece[end].isascii():  # a letter beyond these may follow
+            return self.encode(" " + piece)
+        tail = piece[end:]
+        return self[piece[:end]] + (self.tails[tail] if len(tail) <= self.chars else self.encode(tail))
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(" " + piece)
-        if len(piece) <= self.chars:
-            if len(self) >= self.entries:
-                self.clear()
-            self[piece] = ids
-        return ids
+        return super().__missing__(piece) if len(piece) <= self.chars else self._encoded(piece)
 
     def text_ids(self, text: str) -> bytes:
         first, *rest = pieces(text)
