@@ -40,7 +40,9 @@ class TreeCodec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 96 << 20):
         self.ranks = ranks
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.bytes_of = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
         self.matches = regex.compile(pattern).findall
         self.borders = Generations(self._border, memo // 2, 260)  # encoding of two tokens' bytes
         self.parts = Generations(self._halved, memo // 2)
@@ -145,7 +147,7 @@ class TreeCodec:
 
     def decode(self, ids: Sequence[int]) -> bytes:
         level = [
-            b"".join([self.bytes_of[t] for t in ids[i : i + 512]]) for i in range(0, len(ids), 512)
+            b"".join(map(self.bytes_of.__getitem__, ids[i : i + 512])) for i in range(0, len(ids), 512)
         ]
         while len(level) > 1:
             level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]

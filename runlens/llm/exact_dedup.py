@@ -49,7 +49,23 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text a smaller id has; all columns stay."""
-    found = exact_duplicates(docs, id_col, text_col)
-    dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    """One row of ``docs`` for each text: of its smallest id; all columns stay.
+
+    Rows are told apart by their text, never by their id alone: an id with two texts is
+    two documents, and of repeated rows, or of rows without id, one stays. Each text
+    moves once, with its row; copies collapse inside each task before.
+    """
+    text, norm = F.col(text_col), normalised(F.col(text_col))
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(
+        F.unhex(F.md5(norm)).alias("hash"),
+        norm.alias("norm"),
+        # the text as it was, where the key does not tell
+        F.struct(
+            F.struct(*others).alias("others"), F.when(text != norm, text).alias("spelled"), text.isNull().alias("no_text")
+        ).alias("row"),
+        F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(text).alias("spelling")).alias("order"),
+    )
+    kept = rows.groupBy("hash", "norm").agg(F.min_by("row", "order").alias("row"))
+    spelled = F.when(~F.col("row.no_text"), F.coalesce("row.spelled", "norm")).alias(text_col)
+    return kept.select(*[spelled if c == text_col else F.col(f"row.others.`{c}`") for c in docs.columns])

@@ -12,14 +12,19 @@ with all of the family, in blocks of bounded size, by exact intersection counts.
 link between two components is missed that shares a bucket, and no pairs are listed
 inside a component. All checks are on full sets.
 
+Sets and buckets go by 64-bit hashes of words; a pair that is linked by them is compared
+once more by its words.
+
 Defined cases: a text without words, or null, has an empty set and is linked with
-nothing; rows that repeat an id count as copies; an empty table gives an empty table;
-other columns of the input are not read; ties go to the smallest id.
+nothing; very long texts are sets like others, hashed in blocks; rows that repeat an id
+are judged each by their own text; rows without id come after all others; ties go to the
+smallest id; an empty table gives an empty table; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +41,7 @@ BANDS, ROWS = 48, 6
 SHINGLE = 5
 PERCENT = 80
 BLOCK = 256
+_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def shingle_sets(texts: pa.Array, hasher: WordHasher, size: int = SHINGLE) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -81,14 +87,20 @@ class Signer:
         return mixed(summed + np.arange(self.bands, dtype=np.uint64)).view(np.int64)
 
 
+def word_shingles(text: str, size: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    """The set of a text by its words themselves."""
+    words = _WORDS.findall(text.encode("utf-8", "surrogatepass").lower())  # of bytes, only A-Z change
+    return {tuple(words)} if 0 < len(words) < size else set(zip(*[words[k:] for k in range(size)]))
+
+
 def _signed(rows: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key, bands`` of every row; key and bands null for empty sets."""
-    schema = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+    """``doc_id, digest, n_shingles, set_key, bands`` of every row; key and bands null for empty sets."""
+    schema = "doc_id long, digest binary, n_shingles long, set_key binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, signer = WordHasher(lower=True), Signer()
         for batch in batches:
-            for first, sets in shingle_sets(batch.column(1), hasher, size):
+            for first, sets in shingle_sets(batch.column(2), hasher, size):
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
                 for i in full:
@@ -99,19 +111,28 @@ def _signed(rows: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(sets)),
+                        batch.column(1).slice(first, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(keys, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(bands)),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "bands"],
+                    names=["doc_id", "digest", "n_shingles", "set_key", "bands"],
                 )
 
     return rows.mapInArrow(run, schema)
 
 
+def _similar(n: int, m: int, common: int, percent: int) -> bool:
+    return 100 * common >= percent * (n + m - common)
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+    return _similar(len(a), len(b), len(np.intersect1d(a, b, assume_unique=True)), percent)
+
+
+def linked_by_words(left: str, right: str, percent: int, size: int) -> bool:
+    a, b = word_shingles(left, size), word_shingles(right, size)
+    return bool(a and b) and _similar(len(a), len(b), len(a & b), percent)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -125,7 +146,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
         for batch in batches:
             left = [s for _, sets in shingle_sets(batch.column(2), hasher, size) for s in sets]
             right = [s for _, sets in shingle_sets(batch.column(3), hasher, size) for s in sets]
-            yield batch.select([0, 1]).filter(pa.array([_linked(a, b, percent) for a, b in zip(left, right)], pa.bool_()))
+            found = [
+                _linked(a, b, percent) and linked_by_words(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), percent, size)
+                for i, (a, b) in enumerate(zip(left, right))
+            ]
+            yield batch.select([0, 1]).filter(pa.array(found, pa.bool_()))
 
     return with_texts.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
@@ -159,11 +184,13 @@ def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int, size: in
     common = np.rint(common).astype(np.int64)
     union = sizes[0][:, None] + sizes[1][None, :] - common
     of_left, of_right = left["component"].to_numpy(), right["component"].to_numpy()
-    i, j = np.nonzero((100 * common >= percent * union) & (of_left[:, None] != of_right[None, :]))
-    found = pd.DataFrame(
-        {"u": left["doc_id"].to_numpy()[i], "v": right["doc_id"].to_numpy()[j], "a": of_left[i], "b": of_right[j]}
-    )
-    return found.drop_duplicates(["a", "b"])[["u", "v"]].astype("int64")
+    found, seen = [], set()
+    for i, j in np.argwhere((100 * common >= percent * union) & (of_left[:, None] != of_right[None, :])):
+        ends = of_left[i], of_right[j]
+        if ends not in seen and linked_by_words(left["text"].iat[i], right["text"].iat[j], percent, size):
+            seen.add(ends)
+            found.append((left["doc_id"].iat[i], right["doc_id"].iat[j]))
+    return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
 
 def _cross_links(
@@ -223,25 +250,36 @@ def _cross_links(
     )
 
 
-def near_duplicates(
-    docs: DataFrame,
-    size: int = SHINGLE,
-    percent: int = PERCENT,
-    block: int = BLOCK,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text")
     )
+
+
+def _linked_classes(rows: DataFrame, size: int, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Signed rows, and classes of equal sets as ``node, doc_id, digest, set_key, component``.
+
+    A class is known by its first row, of the smallest id; nodes are numbered in that
+    order, so the smallest node of a component is its first document's. ``component`` is that node.
+    """
     signed = materialize(_signed(rows, size), "signatures")
-    full = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = full.groupBy("set_key", slot("set_key")).agg(F.min("doc_id").alias("class_id")).drop("_slot")
-    firsts = classes.select(F.col("class_id").alias("doc_id"), "set_key")
-    bucketed = (
-        full.join(firsts, ["doc_id", "set_key"], "left_semi")
-        .select("doc_id", F.explode("bands").alias("bucket"))
+    full = signed.filter("set_key IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")).alias("first")
+    order = ["missing", "doc_id", "set_key"]
+    classes = materialize(
+        full.groupBy("set_key", slot("set_key"))
+        .agg(first)
+        .select("set_key", "first.*")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select(F.monotonically_increasing_id().alias("node"), "doc_id", "digest", "set_key"),
+        "classes",
+    )
+    named = classes.select(*[F.col(c).alias(f"class_{c}") for c in classes.columns])
+    same_row = F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("digest") == F.col("class_digest"))
+    bucketed = full.join(named, (F.col("set_key") == F.col("class_set_key")) & same_row).select(
+        F.col("class_node").alias("doc_id"), F.explode("bands").alias("bucket")
     )
     buckets = (
         bucketed.groupBy("bucket", slot("bucket"))
@@ -257,34 +295,60 @@ def near_duplicates(
         "candidates",
     )
     families = materialize(components(stars).withColumnRenamed("component", "family"), "families")
+    wanted = named.join(families.select(F.col("node").alias("class_node")), "class_node", "left_semi")
     texts = materialize(
-        rows.join(families.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.min("text").alias("text")),
-        "texts",
+        rows.join(wanted, same_row).groupBy(F.col("class_node").alias("doc_id")).agg(F.min("text").alias("text")), "texts"
     )
     links = materialize(_verified(stars, texts, percent, size), "links")
     crossed = materialize(_cross_links(families, links, texts, percent, size, block), "links")
-    found = components(links.unionByName(crossed)).select(F.col("node").alias("class_id"), F.col("component").alias("linked"))
-    placed = classes.join(found, "class_id", "left").select(
-        "set_key", F.coalesce("linked", "class_id").alias("component_id")
-    )
+    found = components(links.unionByName(crossed))
+    return signed, classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    size: int = SHINGLE,
+    percent: int = PERCENT,
+    block: int = BLOCK,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row."""
+    signed, classes = _linked_classes(_rows(docs, id_col, text_col), size, percent, block)
+    named = classes.select(F.col("node").alias("component"), F.col("doc_id").alias("component_id"))
+    placed = classes.select("set_key", "component").join(named, "component").select("set_key", "component_id")
+    component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return (
         signed.select("doc_id", "n_shingles", "set_key")
         .join(placed, "set_key", "left")
         .select(
             "doc_id",
             "n_shingles",
-            F.coalesce("component_id", "doc_id").alias("component_id"),
-            F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
+            component.alias("component_id"),
+            component.eqNullSafe(F.col("doc_id")).alias("kept"),
         )
     )
 
 
 def drop_near_duplicates(
-    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    size: int = SHINGLE,
+    percent: int = PERCENT,
+    block: int = BLOCK,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
-    """``docs`` with one document of each component: the smallest id; all columns stay."""
-    found = near_duplicates(docs, size, percent, id_col=id_col, text_col=text_col)
-    dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    """One row of ``docs`` for each component: of its smallest id; all columns stay.
+
+    Rows are told apart by id and text, so an id with two texts is two documents, and a
+    repeated row stays once. Every text without words stays.
+    """
+    signed, classes = _linked_classes(_rows(docs, id_col, text_col), size, percent, block)
+    first = classes.filter("node = component").select("doc_id", "digest")
+    wordless = signed.filter("set_key IS NULL").select("doc_id", "digest").distinct()
+    keepers = first.unionByName(wordless).select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_digest"))
+    own = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = docs.withColumn("_own_digest", own).join(
+        keepers, F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_own_digest") == F.col("_digest")), "left_semi"
+    )
+    return kept.dropDuplicates([id_col, "_own_digest"]).select(*docs.columns)

@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -149,18 +150,31 @@ def _runs(rows: DataFrame, size: int, shards: int) -> DataFrame:
     return rows.select("doc_id", "text", "row_hash", "anchors", "hot").mapInArrow(run, _RUN)
 
 
+def _different(codes: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows that begin at ``starts``: one of each content, and which of them each window equals.
+
+    Windows are put together by hash and then compared; one that differs from the
+    first of its hash is kept apart.
+    """
+    _, firsts, same = np.unique(rolled(mixed(codes.astype(np.uint64)), size)[starts], return_index=True, return_inverse=True)
+    differs = np.zeros(len(starts), bool)
+    for k in range(size):
+        differs |= codes[starts + k] != codes[starts[firsts[same]] + k]
+    odd = np.flatnonzero(differs)
+    same[odd] = len(firsts) + np.arange(len(odd))
+    return np.concatenate([firsts, odd]), same
+
+
 def repeated_windows(runs: list[str], docs: np.ndarray, size: int) -> list[np.ndarray]:
     """For each run of words, of the document ``docs``: which windows a smaller document has too.
 
     All runs are indexed; every window is searched backwards, and the smallest
     document in its range of the suffix array is compared.
     """
-    hashes, bounds = [], [np.zeros(1, np.int64)]
-    for _, words, own in WordHasher().blocks(pa.array(runs, pa.large_string())):
-        hashes.append(words)
-        bounds.append(own[1:] + bounds[-1][-1])
-    words, bounds = np.concatenate(hashes), np.concatenate(bounds)
-    codes = np.unique(words, return_inverse=True)[1] + 1
+    spelled = [run.split(" ") for run in runs]
+    # numbers of the words themselves, so nothing here rests on a hash of a word
+    codes = pd.factorize(np.array(list(chain.from_iterable(spelled)), object))[0].astype(np.int64) + 1
+    bounds = np.cumsum([0, *map(len, spelled)])
     lengths = np.diff(bounds)
     owner = np.repeat(np.arange(len(runs)), lengths + 1)
     joined = np.zeros(len(codes) + len(runs), np.int64)
@@ -170,7 +184,7 @@ def repeated_windows(runs: list[str], docs: np.ndarray, size: int) -> list[np.nd
     smallest = np.append(docs[owner[index.suffixes]], _NO_ID)
 
     starts = np.concatenate([np.arange(a, b - size + 1) for a, b in zip(bounds[:-1], bounds[1:])])
-    _, firsts, same = np.unique(rolled(words, size)[starts], return_index=True, return_inverse=True)
+    firsts, same = _different(codes, starts, size)
     found = np.empty(len(firsts), np.int64)
     for at in range(0, len(firsts), 1 << 16):
         begin = starts[firsts[at : at + (1 << 16)]]

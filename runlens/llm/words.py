@@ -2,12 +2,15 @@
 
 Words are the maximal runs of bytes other than space, tab, line feed, vertical tab,
 form feed and carriage return. A word's hash is a polynomial over its bytes modulo
-2^64, taken from one running sum per block of texts, then mixed.
+2^64, taken from one running sum per block of texts, then mixed. Such polynomials collide on
+long structured words whatever their base, so words of more than ``LONGEST`` bytes are
+hashed by BLAKE2b. Operators use these hashes to find candidates and compare the words themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+LONGEST = 16
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _BYTES_LOWER = _BYTES.copy()
 _BYTES_LOWER[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
@@ -41,6 +45,7 @@ class WordHasher:
     """Blocks of texts as ``(first text, words' hashes, texts' first words)``."""
 
     def __init__(self, lower: bool = False, block: int = 1 << 20):
+        self.lower = lower
         self.table = _BYTES_LOWER if lower else _BYTES
         self.block = block
         self._sized(1 << 12)
@@ -82,4 +87,8 @@ class WordHasher:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.table[data] * self.powers[:n], out=sums[1:])
         hashes = (sums[ends] - sums[starts]) * self.inverses[starts]
-        return mixed(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(starts, bounds)
+        hashes = mixed(hashes + (ends - starts).astype(np.uint64))
+        for i in np.flatnonzero(ends - starts > LONGEST).tolist():
+            word = data[starts[i] : ends[i]].tobytes()
+            hashes[i] = int.from_bytes(blake2b(word.lower() if self.lower else word, digest_size=8).digest(), "little")
+        return hashes, np.searchsorted(starts, bounds)

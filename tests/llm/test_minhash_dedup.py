@@ -108,3 +108,31 @@ def test_components(spark, seed):
 def test_components_of_no_edges(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
     assert components(spark.range(1).select(F.lit(5).alias("u").cast("long"), F.lit(5).alias("v").cast("long"))).count() == 0
+
+
+def thue_morse(n):
+    """Two words of ``n`` letters whose polynomial hashes modulo 2^64 agree for every base."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [16, 17, 64, 1024, 4096])
+def test_long_structured_words(documents, n):
+    a, b = thue_morse(n)
+    rows = [(i, " ".join([w, *"pq"[: i % 2], w])) for i, w in enumerate([a, b, a, b])] + [(9, f"{a} {a}")]
+    found = near_duplicates(documents(rows), size=2)
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows)
+    assert {r.component_id for r in found.collect()} >= {0, 1}
+
+
+def test_ids_with_several_texts(documents):
+    text = " ".join(f"w{i}" for i in range(200))
+    other = " ".join(f"v{i}" for i in range(50))
+    rows = [(1, text), (5, text + " end"), (5, other), (7, "x y z"), (7, "x y z"), (None, text + " more"), (None, "alone here"), (8, ""), (8, ""), (9, None)]
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(documents(rows), size=2).collect()), key=str)
+    assert found == sorted(
+        [(1, 199, 1, True), (5, 200, 1, False), (5, 49, 5, True), (7, 2, 7, True), (7, 2, 7, True), (None, 200, 1, False),
+         (None, 1, None, True), (8, 0, 8, True), (8, 0, 8, True), (9, 0, 9, True)], key=str,
+    )
+    left = sorted(((r.doc_id, r.text) for r in drop_near_duplicates(documents(rows)).collect()), key=str)
+    assert left == sorted([(1, text), (5, other), (7, "x y z"), (None, "alone here"), (8, ""), (9, None)], key=str)

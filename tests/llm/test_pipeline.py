@@ -72,3 +72,14 @@ def test_run(spark, documents, tmp_path):
 def test_empty(spark, documents, tmp_path):
     documents([]).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_and_missing_ids(spark, documents):
+    """An id with two texts is two documents; a repeated row and a copy without id go."""
+    other = ENGLISH.replace("cat", "friend of the house and the number") + "on a hill and over the house again"
+    rows = [(1, ENGLISH, "en"), (5, ENGLISH, "en"), (5, other, "en"), (7, GERMAN, "de"), (7, GERMAN, "de"), (None, GERMAN, "de")]
+    docs = documents(rows)
+    stages = dict(corpus_pipeline.STAGES)
+    once = stages["exact_dedup"](spark, docs, "")
+    assert rows_of(once) == [(1, ENGLISH), (5, other), (7, GERMAN)]
+    assert rows_of(stages["minhash_dedup"](spark, docs, "")) == [(1, ENGLISH), (5, other), (7, GERMAN)]

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from runlens.llm.fm_index import FMIndex, WaveletMatrix, suffix_array
+from runlens.llm import substring_dedup
 from runlens.llm.substring_dedup import remove_repeated_windows, repeated_windows
 
 
@@ -95,3 +96,22 @@ def test_repeated_windows_of_runs():
     runs = ["a b c d", "b c d e", "a b c", "x y z"]
     found = repeated_windows(runs, np.array([5, 3, 9, 1]), 3)
     assert [f.tolist() for f in found] == [[False, True], [False, False], [True], [False]]
+
+
+@pytest.mark.parametrize("n", [16, 17, 1024, 4096])
+def test_long_structured_words(documents, n):
+    """Words whose polynomial hashes agree are different words."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    b = a.translate(str.maketrans("ab", "ba"))
+    start = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, f"{start} {a}"), (2, f"{start} {b}"), (3, f"{start} {b} x"), (4, f"{a} {start}"), (5, f"{b} {start}")]
+    found = remove_repeated_windows(documents(rows))
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows)
+    assert [r[2] for r in sorted(found.select("doc_id", "n_words", "n_removed").collect())] == [0, 0, 13, 0, 0]
+
+
+def test_windows_of_one_hash_are_compared(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "rolled", lambda words, size: np.zeros(len(words), np.uint64))
+    runs = ["a b c d", "a b c", "b c d", "b c e"]
+    found = repeated_windows(runs, np.array([4, 2, 3, 1]), 3)
+    assert [f.tolist() for f in found] == [[True, True], [False], [False], [False]]
