@@ -3,14 +3,18 @@
 Each known word adds its log frequency per language. An unseen word adds the mean
 log frequency of its known n-grams of the longest length that has any.
 
-The model is fitted on a bounded sample of labelled rows, drawn by a hash of the
-id, and holds a bounded number of words and n-grams, so it can be shipped.
+The model is fitted on up to about ``sample`` labelled rows of each language, drawn by a
+hash of the id, and holds up to ``max_words`` words and ``max_grams`` n-grams of each
+language, the most frequent ones (of words up to 40 letters; longer ones are judged by
+n-grams). So it grows with the number of languages only, and rare languages are learned
+like frequent ones. Frequencies are kept per language that has a word, not as a full table.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a text
 whose words share no n-gram with the model gets the most frequent language at the
-score of its share; ties go to the first language in order; rows that repeat are
-judged each; rows without label or text are not learned from; with no labelled row
-everything is ``und``; an empty table gives an empty table; other columns are not read.
+score of its share; ties go to the first language in order; very long texts are counted
+by different words; rows that repeat are judged each; rows without label or text are not
+learned from; any text may name a language; with no labelled row everything is ``und``;
+an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.tokens import in_slices
-from runlens.sources.storage import bounded_rows
+from runlens.operators.ranking import top_n_per_group
+from runlens.sources.storage import materialize
 
 # On 2,499 held-out rows in the learned languages the share of known letters is 0.83 or more
 # with a model of 500 rows; of five texts in languages not learned (zh, ru, ar, pl, fi) none had more than 0.31.
@@ -39,15 +44,30 @@ _TELLING = 3  # shorter n-grams are shared by many languages
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Log frequencies: a row per word, then a row per n-gram, a column per language."""
+    """Log frequencies: ``base`` of what a language does not have, by kind, and what is above it.
+
+    Kind 0 is words, kind n is n-grams of n letters. Entry i has ``gains`` of ``columns``
+    from ``starts[i]`` to ``starts[i + 1]``, each for a language that has it.
+    """
 
     languages: list[str]
     words: dict[str, int]
     grams: dict[str, int]
-    scores: np.ndarray
+    kinds: np.ndarray
+    starts: np.ndarray
+    columns: np.ndarray
+    gains: np.ndarray
+    base: np.ndarray
     prior: np.ndarray
     longest: int
 
+    def total(self, entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Weighted sum of the entries' log frequencies, per language."""
+        found = np.bincount(self.kinds[entries], weights, len(self.base)) @ self.base
+        first, many = self.starts[entries], self.starts[entries + 1] - self.starts[entries]
+        place = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return found + np.bincount(self.columns[place], self.gains[place] * np.repeat(weights, many), len(self.languages))
+
 
 def sample_rows(rows: DataFrame, key: str, most: int) -> DataFrame:
     """About ``most`` rows, chosen by a hash of ``key``; all when there are fewer."""
@@ -58,72 +78,93 @@ def sample_rows(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(buckets)) < buckets * most // total)
 
 
+def _sampled_by(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """About ``most`` rows of each group, chosen by a hash of ``key``; all of smaller groups."""
+    buckets = 1 << 30
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    drawn = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(buckets)) * F.col("_size") < F.lit(buckets * most)
+    # a row per language, like the model that is shipped later
+    return rows.join(F.broadcast(sizes), group).filter(drawn).drop("_size")
+
+
 def fit_languages(
     labelled: DataFrame,
-    sample: int = 8_000,
-    max_words: int = 60_000,
-    max_grams: int = 60_000,
+    sample: int = 2_000,
+    max_words: int = 15_000,
+    max_grams: int = 15_000,
     longest: int = 4,
 ) -> LanguageModel:
-    """Fit on ``doc_id, text, lang`` rows; ``sample`` bounds the rows that are read for it."""
+    """Fit on ``doc_id, text, lang`` rows; all bounds hold per language."""
     usable = labelled.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    rows = sample_rows(usable, "doc_id", sample)
-    words = (
-        rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
-        .filter(F.char_length("word").between(1, 40))
-        .groupBy("lang", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-    ).persist()
-    totals = {r["lang"]: r["n"] for r in bounded_rows(words.groupBy("lang").agg(F.sum("n").alias("n")), 1000, "languages")}
-    languages = sorted(totals)
-    marked = F.concat(F.lit(_MARK), F.col("word"), F.lit(_MARK))
-    grams = words.select(
-        "lang",
-        "n",
-        F.explode(
-            F.flatten(
-                F.transform(
-                    F.sequence(F.lit(1), F.lit(longest)),
-                    lambda size: F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("word") + 3 - size)),
-                        lambda i: F.substr(marked, i, size),
-                    ),
+    words = materialize(
+        _sampled_by(usable, "lang", "doc_id", sample)
+        .select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("entry"))
+        .filter(F.char_length("entry").between(1, 40))
+        .groupBy("lang", "entry")
+        .agg(F.count(F.lit(1)).alias("n")),
+        "words",
+    )
+    marked = F.concat(F.lit(_MARK), F.col("entry"), F.lit(_MARK))
+    grams = (
+        words.select(
+            "lang",
+            "n",
+            F.explode(
+                F.flatten(
+                    F.transform(
+                        F.sequence(F.lit(1), F.lit(longest)),
+                        lambda size: F.transform(
+                            F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("entry") + 3 - size)),
+                            lambda i: F.substr(marked, i, size),
+                        ),
+                    )
                 )
-            )
-        ).alias("gram"),
-    ).filter(F.col("gram") != _MARK)
-
-    def frequent(counts: DataFrame, name: str, most: int) -> list:
-        by_name = counts.groupBy(name).pivot("lang", languages).agg(F.sum("n"))
-        share = sum((F.coalesce(F.col(f"`{x}`"), F.lit(0)) / totals[x] for x in languages), F.lit(0.0))
-        return by_name.orderBy(share.desc(), name).limit(most).collect()
-
-    if not languages:
-        return LanguageModel([], {}, {}, np.zeros((0, 0), np.float32), np.zeros(0), longest)
-    found_words = frequent(words, "word", max_words)
-    found_grams = frequent(grams, "gram", max_grams)
-    words.unpersist()
-
-    def logs(rows, per_language: np.ndarray) -> np.ndarray:
-        counts = np.array([[r[x] or 0 for x in languages] for r in rows], float).reshape(-1, len(languages))
-        return np.log((counts + 0.5) / (per_language + 0.5 * max(1, len(rows))))
-
-    n = np.array([totals[x] for x in languages], float)
-    size = np.array([len(r["gram"]) for r in found_grams], int)
-    table = [logs(found_words, n)]
-    gram_rows: dict[str, int] = {}
-    for length in range(1, longest + 1):  # frequencies among n-grams of one length
-        own = [r for r, k in zip(found_grams, size) if k == length]
-        sums = np.array([[r[x] or 0 for x in languages] for r in own], float).reshape(-1, len(languages)).sum(0)
-        start = sum(map(len, table))
-        gram_rows |= {r["gram"]: start + i for i, r in enumerate(own)}
-        table.append(logs(own, sums))
+            ).alias("gram"),
+        )
+        .filter(F.col("gram") != _MARK)
+        .groupBy("lang", F.col("gram").alias("entry"))
+        .agg(F.sum("n").alias("n"))
+    )
+
+    def frequent(counts: DataFrame, most: int) -> list:
+        kept = top_n_per_group(counts, ["lang"], [F.col("n").desc(), F.col("entry")], most)
+        return sorted(kept.select("entry", "lang", "n").collect())
+
+    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(totals)
+    column = {x: i for i, x in enumerate(languages)}
+    seen = np.array([totals[x] for x in languages], float)
+    found = [(r, 0) for r in frequent(words, max_words)] if languages else []
+    if languages:
+        found += sorted([(r, len(r["entry"])) for r in frequent(grams, max_grams)], key=lambda x: (x[1], x[0]))
+    names: list[dict[str, int]] = [{} for _ in range(longest + 1)]  # entries by kind
+    kinds, starts = [], []
+    for i, (r, kind) in enumerate(found):
+        if r["entry"] not in names[kind]:
+            names[kind][r["entry"]] = len(kinds)
+            kinds.append(kind)
+            starts.append(i)
+    columns = np.array([column[r["lang"]] for r, _ in found], np.int64)
+    counts = np.array([r["n"] for r, _ in found], float)
+    of = np.array([kind for _, kind in found], np.int64)
+    base = np.zeros((longest + 1, len(languages)))
+    gains = np.zeros(len(found))
+    for kind in range(longest + 1):
+        own = of == kind
+        # frequencies among the words, or among the n-grams of one length
+        among = seen if kind == 0 else np.bincount(columns[own], counts[own], len(languages))
+        base[kind] = np.log(0.5 / (among + 0.5 * max(1, len(names[kind]))))
+        gains[own] = np.log((counts[own] + 0.5) / 0.5)
     return LanguageModel(
         languages,
-        {r["word"]: i for i, r in enumerate(found_words)},
-        gram_rows,
-        np.concatenate(table).astype(np.float32),
-        n / n.sum(),
+        names[0],
+        {gram: i for own in names[1:] for gram, i in own.items()},
+        np.array(kinds, np.int64),
+        np.array([*starts, len(found)], np.int64),
+        columns,
+        gains,
+        base,
+        seen / seen.sum() if languages else seen,
         longest,
     )
 
@@ -188,7 +229,7 @@ class Scorer:
         if not rows:
             best = int(np.argmax(model.prior))
             return model.languages[best], float(model.prior[best]), 0.0
-        total = np.array(weights) @ model.scores[rows].astype(float)
+        total = model.total(np.array(rows), np.array(weights, float))
         # mean evidence of a word, counted for twenty words at most: repeated text adds no certainty
         total *= min(1.0, 20 / sum(weights))
         odds = np.exp(total - total.max())

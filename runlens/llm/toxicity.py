@@ -6,10 +6,13 @@ beginnings of words for forms that vary. A match covered by an exception phrase
 not count. Weights are summed, normalised by length, and turned into a probability
 by a two-feature logistic model fitted on labelled rows the lexicon has not seen.
 
-Both fits use a bounded sample of labelled rows, drawn by a hash of the id.
+Both fits use about ``sample`` labelled documents, drawn by a hash of the id. The lexicon
+has up to ``max_entries`` entries, made of words of 3 to 30 letters and their beginnings.
 
-Defined cases: a null or empty text scores like a text without matches; rows that
-repeat are scored each; a document with several labels is toxic if one says so; rows
+Defined cases: a null or empty text scores like a text without matches; very long texts
+are matched whole; rows that repeat an id are scored each, and the smallest text of an id is
+learned from; a document with several labels is toxic if one says so; equal scores are
+no tie to break; rows
 without label are not learned from; without labelled rows of both kinds every score
 is the share of toxic labels (0 without labels); an empty table gives an empty table.
 """
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from runlens.llm.language_id import sample_rows
 from runlens.llm.tokens import in_slices
-from runlens.sources.storage import bounded_rows
+from runlens.sources.storage import bounded_rows, materialize
 
 # Letters that look like Latin ones, and characters written for letters.
 _LOOKALIKES = {
@@ -122,12 +125,13 @@ def _lexicon(rows: DataFrame, most: int) -> dict[str, float]:
     clean_rows, toxic_rows = size.get(0, 0), size.get(1, 0)
     if not clean_rows or not toxic_rows:
         return {}
-    counts = (
+    counts = materialize(
         rows.select("text", "toxic")
         .mapInArrow(count, "entry string, clean long, toxic long")
         .groupBy("entry")
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    ).persist()
+        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")),
+        "entries",
+    )
     clean, toxic = F.col("clean"), F.col("toxic")
     all_rows = clean_rows + toxic_rows
     expected = (clean + toxic) * (toxic_rows / all_rows)
@@ -143,7 +147,6 @@ def _lexicon(rows: DataFrame, most: int) -> dict[str, float]:
     least = 2 * math.log(max(2, counts.count()))
     found = scored.filter((F.col("g") > least) & (F.col("odds") > 2)).orderBy(F.col("g").desc(), "entry").limit(most)
     lexicon = _without_nested({r["entry"]: (r["odds"], r["toxic"]) for r in found.collect()})
-    counts.unpersist()
     return lexicon
 
 
@@ -199,11 +202,14 @@ def fit_toxicity(
     """
     own = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
     drawn = sample_rows(own, "doc_id", sample)
-    rows = (
+    rows = materialize(
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(drawn), "doc_id")
-        .withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(3)))
-    ).persist()
+        .groupBy("doc_id", "toxic")
+        .agg(F.min("text").alias("text"))
+        .withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(3))),
+        "labelled",
+    )
     lexicon = _lexicon(rows.filter("fold < 2"), max_entries)
     matcher_args = lexicon, tuple(exceptions)
 
@@ -219,7 +225,6 @@ def fit_toxicity(
     held = rows.filter("fold = 2").select("text", F.col("toxic").cast("int").alias("toxic"))
     # three numbers a row; the draw is near ``sample``, never twice of it
     data = bounded_rows(held.mapInArrow(features, "toxic int, damped double, dense double"), 2 * sample + 100, "labelled rows")
-    rows.unpersist()
     y = np.array([r["toxic"] for r in data], float)
     if not lexicon or not len(y) or y.min() == y.max():
         share = (y.sum() + 1e-3) / (len(y) + 1.0) if len(y) else 0.0

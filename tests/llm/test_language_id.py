@@ -1,4 +1,9 @@
+import math
 import random
+import re
+from collections import Counter
+
+import numpy as np
 
 from pyspark.sql import functions as F
 
@@ -74,6 +79,77 @@ def test_no_labelled_rows(spark, documents):
     assert {r.lang_pred for r in identify_languages(docs, model).collect()} == {"und"}
 
 
-def test_sample_is_bounded(spark, documents):
+def test_model_is_bounded_per_language(spark, documents):
     model = fit_languages(documents(corpus(n=400)), sample=60, max_words=10, max_grams=20)
-    assert len(model.words) == 10 and len(model.grams) == 20
+    assert len(model.languages) == 3
+    assert np.bincount(model.columns[: model.starts[len(model.words)]]).tolist() == [10, 10, 10]
+    assert np.bincount(model.columns[model.starts[len(model.words)] :]).tolist() == [20, 20, 20]
+
+
+def test_rare_language_is_learned(spark, documents):
+    rows = [(i, t, "en") for i, (_, t, _) in enumerate(corpus(n=3_000))] + [(10_000 + i, "pala tuli vesi metsä", "fi") for i in range(3)]
+    model = fit_languages(documents(rows), sample=200)
+    assert model.languages == ["en", "fi"]
+    assert Scorer(model).predict("tuli metsä")[0] == "fi"
+
+
+def test_any_number_and_name_of_languages(spark, documents):
+    names = ["a`b", "word", "gram", "n", "lang", "x.y", ""] + [f"l{i}" for i in range(1_100)]
+    word = lambda i: "qx" + "".join("abcdefghij"[int(c)] for c in str(i)) + "z"
+    rows = [(i, f"{word(i)} und", x) for i, x in enumerate(names)]
+    model = fit_languages(documents(rows))
+    assert sorted(model.languages) == sorted(names)
+    scorer = Scorer(model)
+    assert [scorer.predict(word(i))[0] for i in range(20)] == names[:20]
+
+
+def plain_scores(labelled, text, longest=4):
+    """Log odds of each language from plain counts of words and n-grams."""
+    letters = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    words, grams = {}, {}
+    for _, t, lang in labelled:
+        for w in letters(t):
+            words.setdefault(lang, Counter())[w] += 1
+            marked = f"\0{w}\0"
+            for n in range(1, longest + 1):
+                for i in range(len(marked) - n + 1):
+                    if marked[i : i + n] != "\0":
+                        grams.setdefault(n, {}).setdefault(lang, Counter())[marked[i : i + n]] += 1
+
+    def log(counts, entry):
+        names = set().union(*counts.values())
+        return {x: math.log((c[entry] + 0.5) / (c.total() + 0.5 * len(names))) for x, c in counts.items()}
+
+    totals, weight = dict.fromkeys(words, 0.0), 0.0
+    for w, times in Counter(letters(text)).items():
+        if any(w in c for c in words.values()):
+            parts = [log(words, w)]
+        else:
+            for n in range(longest, 0, -1):
+                marked = f"\0{w}\0"
+                own = [marked[i : i + n] for i in range(len(marked) - n + 1)]
+                parts = [log(grams[n], g) for g in own if any(g in c for c in grams[n].values())]
+                if parts:
+                    break
+        weight += times if parts else 0
+        for part in parts:
+            for x, v in part.items():
+                totals[x] += times * v / len(parts)
+    scale = min(1.0, 20 / weight)
+    odds = {x: math.exp(scale * (v - max(totals.values()))) for x, v in totals.items()}
+    best = max(odds, key=odds.get)
+    return best, odds[best] / sum(odds.values())
+
+
+def test_against_plain_counts(spark, documents):
+    labelled = corpus(n=60)
+    found = {r.doc_id: r for r in identify_languages(documents(corpus(seed=5, n=80)), fit_languages(documents(labelled))).collect()}
+    rng = random.Random(9)
+    for i, text, _ in corpus(seed=5, n=80):
+        lang, score = plain_scores(labelled, text)
+        assert found[i].lang_pred == lang and abs(found[i].score - score) < 1e-9
+    scorer = Scorer(fit_languages(documents(labelled)))
+    for _ in range(50):  # words never seen, which back off
+        text = " ".join("".join(rng.choices("aeioudnrstlghwß", k=rng.randint(2, 9))) for _ in range(4))
+        lang, score = plain_scores(labelled, text)
+        assert scorer.predict(text)[0] == lang and abs(scorer.predict(text)[1] - score) < 1e-9

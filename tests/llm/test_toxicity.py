@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pytest
 
@@ -73,3 +75,35 @@ def test_without_labels(spark, documents):
     assert scores(documents, none, [(1, "idiot")])[1] < 1e-6
     one_kind = fit_toxicity(docs, spark.createDataFrame([(i, 0) for i in range(5)], "doc_id long, toxic int"))
     assert scores(documents, one_kind, [(1, "idiot")])[1] < 0.1
+
+
+def test_repeated_rows(spark, documents):
+    texts, labels = corpus(3, n=60)
+    labelled = spark.createDataFrame(labels * 3, "doc_id long, toxic int")
+    model = fit_toxicity(documents(texts * 40), labelled, sample=60)
+    once = fit_toxicity(documents(texts), labelled, sample=60)
+    assert model == once
+
+
+def plain_score(model, text):
+    """Every entry looked for at every place of the folded text."""
+    folded = fold(text)
+    covered = [(m.start(), m.start() + len(fold(p))) for p in model.exceptions for m in re.finditer(f"(?={re.escape(fold(p))})", folded)]
+    best = {}
+    for entry, weight in model.lexicon.items():
+        for m in re.finditer(f"(?={re.escape(entry)})", folded):
+            a, b = m.start(), m.start() + len(entry)
+            if not any(x <= a and b <= y for x, y in covered):
+                best[a] = max(weight, best.get(a, 0.0))
+    total = sum(best.values())
+    bias, damped, dense = model.weights
+    odds = bias + damped * math.log1p(total) + dense * min(20.0, 100 * total / (folded.count(" ") + 20))
+    return 1 / (1 + math.exp(-odds))
+
+
+def test_against_plain_search(documents, fitted):
+    texts, _ = corpus(4, n=150)
+    texts += [(1000, "trash can blegorum idiot scum"), (1001, "1d10t! ЅCUM"), (1002, "")]
+    found = scores(documents, fitted, texts)
+    for i, text in texts:
+        assert abs(found[i] - (plain_score(fitted, text) if text else found[1002])) < 1e-12
