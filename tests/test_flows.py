@@ -68,7 +68,7 @@ def test_context_flow(spark, tmp_path):
     assert len(index.cells.centres) == 4
     row = chunks.filter("post_id = 3").collect()[0]
     assert row["chunk"].endswith("- http://a.b/3\n") and row["metadata"]["keyword"] == "k0"
-    assert [d for d in os.listdir(tmp_path / "index" / "chunks") if d.startswith("cell=")]
+    assert list((tmp_path / "index").glob("data-*/chunks/cell=*"))
 
     # the answer tells whether the nearest context, that of the post itself, came first
     answer = F.when(
@@ -99,6 +99,7 @@ def test_context_flow_loses_no_neighbour(spark, tmp_path):
 
     exact = prompts(n_probe=None)
     assert len(exact) == 120 and prompts() == exact
+    assert prompts(share=1.0) == exact
     assert prompts(n_probe=8) != exact  # with more cells fixed probes lose neighbours
 
 
