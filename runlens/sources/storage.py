@@ -24,16 +24,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/runlens/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other run uses; each application has a folder of its own."""
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/runlens/{spark.sparkContext.applicationId}"
 
 
 def clean_scratch(spark: SparkSession) -> None:
-    """Delete what finished runs left under the shared folder.
+    """Delete what this application left under the shared folder; others keep theirs.
 
     Call it when no result that was handed out will be read any more.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/runlens")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 

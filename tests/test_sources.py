@@ -160,7 +160,8 @@ def test_clean_scratch(spark):
     kept = storage.materialize(spark.range(3), "x")
     assert kept.count() == 3
     storage.clean_scratch(spark)
-    assert not os.path.exists(f"{storage.shared_folder(spark)}/runlens".removeprefix("file:"))
+    own = f"{storage.shared_folder(spark)}/runlens/{spark.sparkContext.applicationId}"
+    assert not os.path.exists(own.removeprefix("file:"))
 
 
 def test_any_number_of_layouts(spark, tmp_path):
