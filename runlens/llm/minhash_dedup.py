@@ -184,12 +184,21 @@ def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int, size: in
     common = np.rint(common).astype(np.int64)
     union = sizes[0][:, None] + sizes[1][None, :] - common
     of_left, of_right = left["component"].to_numpy(), right["component"].to_numpy()
-    found, seen = [], set()
-    for i, j in np.argwhere((100 * common >= percent * union) & (of_left[:, None] != of_right[None, :])):
-        ends = of_left[i], of_right[j]
-        if ends not in seen and linked_by_words(left["text"].iat[i], right["text"].iat[j], percent, size):
-            seen.add(ends)
-            found.append((left["doc_id"].iat[i], right["doc_id"].iat[j]))
+    i, j = np.nonzero((100 * common >= percent * union) & (of_left[:, None] != of_right[None, :]))
+    # one link per pair of components: the first that holds by its words too
+    _, pair = np.unique(np.stack([of_left[i], of_right[j]]), axis=1, return_inverse=True)
+    pair = pair.reshape(-1)
+    found = []
+    while len(pair):
+        _, firsts = np.unique(pair, return_index=True)
+        done = np.zeros(int(pair.max()) + 1, bool)
+        for k in firsts.tolist():
+            if linked_by_words(left["text"].iat[i[k]], right["text"].iat[j[k]], percent, size):
+                found.append((left["doc_id"].iat[i[k]], right["doc_id"].iat[j[k]]))
+                done[pair[k]] = True
+        rest = ~done[pair]
+        rest[firsts] = False
+        i, j, pair = i[rest], j[rest], pair[rest]
     return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
 

@@ -23,11 +23,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,10 +171,10 @@ def repeated_windows(runs: list[str], docs: np.ndarray, size: int) -> list[np.nd
     All runs are indexed; every window is searched backwards, and the smallest
     document in its range of the suffix array is compared.
     """
-    spelled = [run.split(" ") for run in runs]
+    spelled = pc.split_pattern(pa.array(runs, pa.large_string()), " ")
     # numbers of the words themselves, so nothing here rests on a hash of a word
-    codes = pd.factorize(np.array(list(chain.from_iterable(spelled)), object))[0].astype(np.int64) + 1
-    bounds = np.cumsum([0, *map(len, spelled)])
+    codes = spelled.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
+    bounds = np.append(0, np.cumsum(pc.list_value_length(spelled).to_numpy()))
     lengths = np.diff(bounds)
     owner = np.repeat(np.arange(len(runs)), lengths + 1)
     joined = np.zeros(len(codes) + len(runs), np.int64)
