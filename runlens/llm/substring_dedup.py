@@ -165,6 +165,17 @@ def _different(codes: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.nda
     return np.concatenate([firsts, odd]), same
 
 
+def _smallest_in(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The smallest of ``values`` in each range; ranges are taken in order, since ``reduceat`` also reads between them."""
+    found = values[low]
+    several = np.flatnonzero(high - low > 1)
+    several = several[np.argsort(low[several], kind="stable")]
+    if len(several):
+        ends = np.column_stack([low[several], high[several]]).ravel()
+        found[several] = np.minimum.reduceat(values, ends)[::2]
+    return found
+
+
 def repeated_windows(runs: list[str], docs: np.ndarray, size: int) -> list[np.ndarray]:
     """For each run of words, of the document ``docs``: which windows a smaller document has too.
 
@@ -190,7 +201,7 @@ def repeated_windows(runs: list[str], docs: np.ndarray, size: int) -> list[np.nd
         begin = starts[firsts[at : at + (1 << 16)]]
         # a window whose end stands in one place only is its own single occurrence
         low, high = index.search(codes[begin[:, None] + np.arange(size)], until_one=True)
-        found[at : at + len(low)] = np.minimum.reduceat(smallest, np.column_stack([low, high]).ravel())[::2]
+        found[at : at + len(low)] = _smallest_in(smallest, low, high)
     counts = lengths - size + 1
     repeated = found[same] < np.repeat(docs, counts)
     return np.split(repeated, np.cumsum(counts)[:-1])

@@ -115,3 +115,12 @@ def test_windows_of_one_hash_are_compared(monkeypatch):
     runs = ["a b c d", "a b c", "b c d", "b c e"]
     found = repeated_windows(runs, np.array([4, 2, 3, 1]), 3)
     assert [f.tolist() for f in found] == [[True, True], [False], [False], [False]]
+
+
+def test_smallest_in_ranges():
+    rng = np.random.default_rng(2)
+    values = np.append(rng.integers(0, 1000, 300), 10**9)
+    low = rng.integers(0, 299, 500)
+    high = np.minimum(low + rng.integers(1, 40, 500), 300)
+    found = substring_dedup._smallest_in(values, low, high)
+    assert found.tolist() == [values[a:b].min() for a, b in zip(low, high)]
