@@ -219,18 +219,23 @@ def _shard_intervals(rows: pd.DataFrame, size: int) -> pd.DataFrame:
         later = rows["doc_id"].to_numpy() > least[code]
         whole.append(rows[later])
         repeated = repeated_windows(contents.tolist(), least, size)
-        for i in np.flatnonzero(~later):
+        places, begins, ends = [], [], []
+        for i in np.flatnonzero(~later).tolist():
             own = repeated[code[i]]
             if own.any():
                 edge = np.diff(np.concatenate([[0], own.view(np.int8), [0]]))
-                begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                start = rows["start"].iat[i]
-                parts.append(
-                    pd.DataFrame(
-                        {"doc_id": rows["doc_id"].iat[i], "row_hash": rows["row_hash"].iat[i],
-                         "start": start + begin, "end": start + end + size - 1}
-                    )
-                )
+                begins.append(np.flatnonzero(edge == 1))
+                ends.append(np.flatnonzero(edge == -1))
+                places.append(np.full(len(begins[-1]), i))
+        if places:
+            at = np.concatenate(places)
+            start = rows["start"].to_numpy()[at]
+            parts.append(
+                pd.DataFrame(
+                    {"doc_id": rows["doc_id"].to_numpy()[at], "row_hash": rows["row_hash"].to_numpy()[at],
+                     "start": start + np.concatenate(begins), "end": start + np.concatenate(ends) + size - 1}
+                )
+            )
     done = pd.concat(whole)
     done = done.assign(end=done["start"] + done["windows"] + size - 1)[["doc_id", "row_hash", "start", "end"]]
     return pd.concat([done, *parts]).astype("int64")
