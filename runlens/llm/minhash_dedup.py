@@ -203,12 +203,10 @@ def _block_links(left: pd.DataFrame, right: pd.DataFrame, percent: int, size: in
 
 
 def _cross_links(
-    families: DataFrame, links: DataFrame, texts: DataFrame, percent: int, size: int, block: int
+    families: DataFrame, linked: DataFrame, texts: DataFrame, percent: int, size: int, block: int
 ) -> DataFrame:
-    """Links between the preliminary components of each family (``node, family``)."""
-    members = families.join(
-        components(links).select("node", F.col("component").alias("found")), "node", "left"
-    ).select("node", "family", F.coalesce("found", "node").alias("component"))
+    """Links between the preliminary components (``linked``) of each family (``node, family``)."""
+    members = families.join(linked.select("node", F.col("component").alias("found")), "node", "left").select("node", "family", F.coalesce("found", "node").alias("component"))
     sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
     open_ = (
         sizes.groupBy("family")
@@ -309,11 +307,26 @@ def _linked_classes(rows: DataFrame, size: int, percent: int, block: int) -> tup
         rows.join(wanted, same_row).groupBy(F.col("class_node").alias("doc_id")).agg(F.min("text").alias("text")), "texts"
     )
     links = materialize(_verified(stars, texts, percent, size), "links")
-    crossed = materialize(_cross_links(families, links, texts, percent, size, block), "links")
-    found = components(links.unionByName(crossed))
+    linked = materialize(components(links), "linked")
+    crossed = materialize(_cross_links(families, linked, texts, percent, size, block), "links")
+    found = linked if crossed.isEmpty() else _merged(linked, crossed)
     return signed, classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _merged(linked: DataFrame, crossed: DataFrame) -> DataFrame:
+    """Components after more links: only the components' own nodes are linked anew."""
+    root = linked.select("node", F.col("component").alias("root"))
+    of = lambda end: root.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    edges = crossed.join(of("u"), "u", "left").join(of("v"), "v", "left").select(
+        F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v")
+    )
+    tops = components(edges).select(F.col("node").alias("root"), F.col("component").alias("top"))
+    moved = root.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("component"))
+    # nodes that only these links reach are their own root
+    alone = tops.withColumnRenamed("root", "node").join(linked.select("node"), "node", "left_anti").select("node", F.col("top").alias("component"))
+    return moved.unionByName(alone)
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = SHINGLE,
