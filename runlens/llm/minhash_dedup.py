@@ -301,18 +301,31 @@ def _linked_classes(rows: DataFrame, size: int, percent: int, block: int) -> tup
         .distinct(),
         "candidates",
     )
-    families = materialize(components(stars).withColumnRenamed("component", "family"), "families")
-    wanted = named.join(families.select(F.col("node").alias("class_node")), "class_node", "left_semi")
+    ends = stars.select(F.explode(F.array("u", "v")).alias("class_node"))
+    wanted = named.join(ends, "class_node", "left_semi")
     texts = materialize(
         rows.join(wanted, same_row).groupBy(F.col("class_node").alias("doc_id")).agg(F.min("text").alias("text")), "texts"
     )
     links = materialize(_verified(stars, texts, percent, size), "links")
-    linked = materialize(components(links), "linked")
+    families, linked = _families_and_linked(stars, links)
     crossed = materialize(_cross_links(families, linked, texts, percent, size, block), "links")
     found = linked if crossed.isEmpty() else _merged(linked, crossed)
     return signed, classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _families_and_linked(stars: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of the candidates (``node, family``) and of the links (``node, component``).
+
+    Both graphs go through the rounds together, the second with odd numbers for its nodes.
+    """
+    doubled = [F.shiftleft(c, 1).alias(c) for c in ("u", "v")]
+    odd = [(F.shiftleft(c, 1) + 1).alias(c) for c in ("u", "v")]
+    found = materialize(components(stars.select(*doubled).unionByName(links.select(*odd))), "components")
+    node, component = F.shiftright("node", 1).alias("node"), F.shiftright("component", 1)
+    families = found.filter(F.col("node") % 2 == 0).select(node, component.alias("family"))
+    return families, found.filter(F.col("node") % 2 == 1).select(node, component.alias("component"))
+
+
 def _merged(linked: DataFrame, crossed: DataFrame) -> DataFrame:
     """Components after more links: only the components' own nodes are linked anew."""
     root = linked.select("node", F.col("component").alias("root"))
