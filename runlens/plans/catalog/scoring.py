@@ -59,13 +59,13 @@ def make_scorer():
 
 def make_flaky_scorer():
     """Fails the first time it sees a prompt whose length divides by four."""
-    failed = None
+    waiting = set()
 
     def score(prompt: str) -> str:
-        nonlocal failed
-        if len(prompt) % 4 == 0 and prompt != failed:
-            failed = prompt
+        if len(prompt) % 4 == 0 and prompt not in waiting:
+            waiting.add(prompt)
             raise ValueError("injected fault")
+        waiting.discard(prompt)
         return f"DECISION: No\nEXPLANATION: {len(prompt)} characters"
 
     return score
@@ -151,6 +151,18 @@ def _(spark, d):
     return scored.select("post_id", "definition", "status", "attempts")
 
 
+# eight requests of a task at once; those that fail wait while others are asked
+@query(
+    "sc04_score_in_flight",
+    TASKS_SQL
+    + f"""SELECT post_id, definition, CASE WHEN length(prompt) % 4 <> 0 THEN {ANSWER_SQL} END AS answer,
+       CAST(CASE WHEN length(prompt) % 4 = 0 THEN 3 ELSE 1 END AS INTEGER) AS attempts FROM tasks""",
+)
+def _(spark, d):
+    scored = scoring.score_callable(tasks(spark, d), make_scorer, max_retries=2, delay=0.01, in_flight=8)
+    return scored.select("post_id", "definition", "answer", "attempts")
+
+
 @query(
     "sc04_resubmit_failed",
     TASKS_SQL
