@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from runlens.llm.components import components
+from runlens.llm.components import _joined, components
 from runlens.llm.minhash_dedup import drop_near_duplicates, near_duplicates, shingle_sets
 from runlens.llm.words import WordHasher
 
@@ -105,6 +105,28 @@ def test_components(spark, seed):
     assert found == {n: c for n, c in union_find({n for e in edges for n in e}, edges).items() if n in nodes}
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
+def test_edges_of_a_task_become_stars(edges):
+    u, v = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
+    nodes = {n for e in edges for n in e}
+    moved, root = _joined(u, v)
+    assert dict(zip(moved.tolist(), root.tolist())) == {n: c for n, c in union_find(nodes, edges).items() if n != c}
+
+
+def test_a_path_is_joined_in_few_steps():
+    path = np.random.default_rng(5).permutation(1 << 18).astype(np.int64)
+    moved, root = _joined(path[:-1], path[1:])
+    assert len(moved) == len(path) - 1 and not root.any()
+
+
+def test_components_when_no_task_has_two_edges(spark):
+    edges = [(i, i + 1) for i in range(20)] + [(40, 30), (41, 30), (41, 42), (50, 51)]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(100, "u", "v")
+    found = {r.node: r.component for r in components(df).collect()}
+    assert found == union_find({n for e in edges for n in e}, edges)
+
+
 def test_components_of_no_edges(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
     assert components(spark.range(1).select(F.lit(5).alias("u").cast("long"), F.lit(5).alias("v").cast("long"))).count() == 0
