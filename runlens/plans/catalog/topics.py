@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from runlens.operators import topics
@@ -50,12 +49,7 @@ FROM posts LEFT JOIN words USING (post_id) LEFT JOIN vocabulary v USING (term) G
 )
 def _(spark, d):
     matrix, _ = topics.term_matrix(post_tokens(spark, d))
-    counts = vector_to_array("features")
-    return matrix.select(
-        "post_id",
-        F.size(F.filter(counts, lambda c: c > 0)).alias("n_terms"),
-        F.aggregate(counts, F.lit(0.0), lambda total, c: total + c).cast("long").alias("n_words"),
-    )
+    return topics.term_totals(matrix).select("post_id", "n_terms", "n_words")
 
 
 # A fitted model has no answer in SQL; what must hold of any fit is compared.
